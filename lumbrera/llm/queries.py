@@ -26,9 +26,17 @@ def op7_repair_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_documents(shards).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op8_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import simhash
+
+    found = simhash.near_duplicate_components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_config_lp": op1_pack_config_lp,
     "op7_repair_token_shards": op7_repair_token_shards,
+    "op8_simhash_multi_index": op8_simhash_multi_index,
 }
 
 ORACLE_SQL: dict[str, str] = {}
