@@ -19,6 +19,13 @@ def op1_pack_config_lp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffixes
+
+    kept = suffixes.remove_repeats(table(spark, sf_dir, "documents"), 50)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_repair_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import repair
 
@@ -35,6 +42,7 @@ def op8_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_config_lp": op1_pack_config_lp,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op7_repair_token_shards": op7_repair_token_shards,
     "op8_simhash_multi_index": op8_simhash_multi_index,
 }
