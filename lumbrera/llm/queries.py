@@ -40,11 +40,20 @@ def op8_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_decontaminate_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate
+
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+    digest = F.sha2(F.array_join("item_ids", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_config_lp": op1_pack_config_lp,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op7_repair_token_shards": op7_repair_token_shards,
     "op8_simhash_multi_index": op8_simhash_multi_index,
+    "op9_decontaminate_index": op9_decontaminate_index,
 }
 
 ORACLE_SQL: dict[str, str] = {}
