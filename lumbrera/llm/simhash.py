@@ -102,7 +102,7 @@ def _join_up(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
 
 
-def link_bucket(table: np.ndarray, probes: np.ndarray, low: int, bits: int, lead: int, radius: int, distance: int, most_pairs: int = 1 << 21) -> np.ndarray:
+def link_bucket(table: np.ndarray, probes: np.ndarray, low: int, bits: int, lead: int, radius: int, distance: int, most_pairs: int = 1 << 18) -> np.ndarray:
     """Parents over concatenated (table, probes) rows after linking probes to table rows within ``distance``.
 
     Only ball members whose leading bits match this table part are looked up here.
