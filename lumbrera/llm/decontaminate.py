@@ -2,12 +2,11 @@
 
 The index stores a posting (document, position, term) for every corpus word that
 occurs in a benchmark item, and one end posting per document that gives its word
-count. A window of ``window`` words holds one whole aligned block of
-(window + 1) // 2 words of its item; per block the posting lists of its rarest
-terms, counted over the whole corpus, are adjusted by the terms' offsets and
-intersected, the rarest first. The alignments (item, document, shift) that are
-left are held against the words themselves, which gives the exact phrase
-matches. ``proximity_matches`` reads the same index for items whose rarest terms
+count. For every window of an item the posting lists of its rarest terms,
+counted over the whole corpus, are adjusted by the terms' offsets and
+intersected; windows that overlap mostly have the same rarest terms, which then
+are looked up once. The alignments (item, document, shift) that are left are
+held against the words themselves, which gives the exact phrase matches. ``proximity_matches`` reads the same index for items whose rarest terms
 stand close together in any order.
 
 DataFrame and SQL functions only. The benchmark's terms and blocks are broadcast
@@ -90,32 +89,32 @@ class PositionalIndex:
     def texts(self) -> DataFrame:
         return self._docs
 
-    def blocks(self, window: int) -> DataFrame:
-        """b, block, j (place in the item), t, n_corpus of all block words."""
-        m = (window + 1) // 2
-        last = F.when(F.col("n") < window, 0).otherwise(F.floor((F.col("n") - m) / m).cast("int"))
-        block = self.items.select("b", "w", F.explode(F.sequence(F.lit(0), last)).alias("block"))
-        words = block.select("b", "block", F.posexplode(F.slice("w", F.col("block") * m + 1, m)).alias("j", "term"))
-        return words.withColumn("j", F.col("j") + F.col("block") * m).join(self.counts, "term")
+    def windows(self, window: int) -> DataFrame:
+        """b, s (start of a window in the item), j (place in the item), t, n_corpus of all words of all windows."""
+        starts = self.items.select("b", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - window, F.lit(0)))).alias("s"))
+        words = starts.select("b", "s", F.posexplode(F.slice("w", F.col("s") + 1, window)).alias("j", "term"))
+        return words.withColumn("j", F.col("j") + F.col("s")).join(self.counts, "term")
 
 
 def rarest_terms(index: PositionalIndex, window: int, lists: int) -> DataFrame:
-    """b, block, k (0: the rarest), j, t; of each block its ``lists`` rarest words, and k_all, how many there are."""
-    of_block = Window.partitionBy("b", "block")
-    ranked = index.blocks(window).withColumn("k", F.row_number().over(of_block.orderBy("n_corpus", "j")) - 1).filter(F.col("k") < lists)
-    return ranked.withColumn("k_all", F.count(F.lit(1)).over(of_block)).select("b", "block", "k", "k_all", "j", "t")
+    """p (a set of places that is the rarest of some window), b, k, j, t; k_all: the places of the set."""
+    of_window = Window.partitionBy("b", "s")
+    ranked = index.windows(window).withColumn("k", F.row_number().over(of_window.orderBy("n_corpus", "j"))).filter(F.col("k") <= lists)
+    sets = ranked.groupBy("b", "s").agg(F.array_sort(F.collect_list(F.struct("j", "t"))).alias("places")).select("b", "places").distinct()
+    keyed = sets.select(F.xxhash64("places").alias("p"), "b", F.size("places").alias("k_all"), F.posexplode("places").alias("k", "place"))
+    return keyed.select("p", "b", "k_all", "k", "place.j", "place.t")
 
 
-def align(index: PositionalIndex, window: int = 10, lists: int = 3) -> DataFrame:
-    """b, d, r, shift: where the rarest terms of a block all stand as in the item."""
+def align(index: PositionalIndex, window: int = 10, lists: int = 2) -> DataFrame:
+    """b, d, r, shift: where the rarest terms of a window all stand as in the item."""
     probes = Written(rarest_terms(index, window, lists), "probes").df
     probes = _checked(probes, probes.count(), BROADCAST_ROWS)
-    met = index.postings.join(probes, "t").select("b", "block", "d", "r", (F.col("pos") - F.col("j")).alias("shift"), "k", "k_all")
-    held = met.groupBy("b", "block", "d", "r", "shift").agg(F.count(F.lit(1)).alias("n"), F.first("k_all").alias("k_all"), F.expr("bit_or(shiftleft(1, k))").alias("which"))
+    met = index.postings.join(probes, "t").select("p", "b", "d", "r", (F.col("pos") - F.col("j")).alias("shift"), "k", "k_all")
+    held = met.groupBy("p", "b", "d", "r", "shift").agg(F.first("k_all").alias("k_all"), F.expr("bit_or(shiftleft(1L, k))").alias("which"))
     return held.filter(F.expr("bit_count(which) = k_all")).select("b", "d", "r", "shift").distinct()
 
 
-def phrase_matches(index: PositionalIndex, window: int = 10, lists: int = 3) -> DataFrame:
+def phrase_matches(index: PositionalIndex, window: int = 10, lists: int = 2) -> DataFrame:
     """d, r, item_id, b, runs: exact matches as word intervals [lo, hi) of the document, each a run of whole windows."""
     aligned = Written(align(index, window, lists), "alignments").df
     keys = Written(aligned.select("d", "r").distinct(), "aligned-documents").df
@@ -141,7 +140,7 @@ def covered(runs: Column) -> Column:
     return F.aggregate(F.array_sort(runs), zero, step)["n"]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, lists: int = 3) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, lists: int = 2) -> DataFrame:
     """Per document row: doc_id, r (hash of its text), n_words, n_hit, item_ids (sorted as strings), n_items, contaminated."""
     index = PositionalIndex(docs, benchmark)
     found = phrase_matches(index, window, lists).groupBy("d", "r").agg(
