@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 _LOCAL_SCRATCH = "/tmp/checkpoints/lumbrera"
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Bytes of text that one step of a Python operator holds as numpy arrays.
 SLICE_BYTES = 4 << 20
 
@@ -27,7 +29,13 @@ class Written:
         self.spark = df.sparkSession
         self.path = f"{scratch_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
         self.schema = df.schema
-        df.write.option("compression", compression).parquet(self.path)
+        # The table replaces the plan, so the plan's shuffle files can go as soon as it is written.
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", compression).parquet(self.path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
 
     @property
     def df(self) -> DataFrame:
@@ -39,14 +47,6 @@ class Written:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Shuffle files of finished steps go once the driver's JVM has dropped their handles."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def only(df: DataFrame, *columns: str) -> DataFrame:
     """The named columns; others, whatever their names, are dropped before any join."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

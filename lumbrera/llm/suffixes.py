@@ -31,14 +31,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Written, buckets_for, input_bytes, only, release_shuffles, slices
+from .common import SLICE_BYTES, Written, buckets_for, input_bytes, only, slices
 
 _KMER = 16
 _MULT = np.uint64(6364136223846793005)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LAST = np.iinfo(np.int64).max
 #: Text bytes per target of the dealt work.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 6 << 20
 
 
 def pack_arrays(*arrays: np.ndarray) -> bytes:
@@ -412,15 +412,12 @@ def kept_bytes(text: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, int,
 
 def remove_repeats(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns of ``keep``, n_bytes, n_removed, n_spans and kept (binary) of every document."""
-    spark = docs.sparkSession
     buckets = buckets_for(input_bytes(docs, "text"), BUCKET_BYTES)
     base = only(docs, "doc_id", "text", *keep).withColumn("row", F.xxhash64("doc_id", "text"))
     base = base.withColumn("text", F.col("text").cast("binary")).withColumn("doc_id", F.col("doc_id").cast("long"))
     lean = base.select("doc_id", "row", "text")
     found = Written(recurring(find_anchors(lean, length, buckets), buckets), "recurring", "none")
-    release_shuffles(spark)
     marks = Written(repeats(contexts(lean, found.df, length, buckets), length, buckets), "repeats", "none")
-    release_shuffles(spark)
     fields = [f for f in base.schema.fields if f.name in keep]
     kept_schema = pa.schema([("doc_id", pa.int64()), *[(f.name, _arrow(f.dataType)) for f in fields], ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
