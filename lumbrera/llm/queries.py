@@ -26,6 +26,44 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    members = warc.normalise(warc.write_monolithic(table(spark, sf_dir, "pages"), 0).df)
+    found = warc.read_records(members.df, warc.sidecar_index(members.df).df)
+    return found.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+
+
+def op5_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import urlfilter
+
+    return urlfilter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_sql() -> str:
+    from .urlfilter import LEAST_SOFT, RULES, SOFT_TERMS, STRICT_TERMS
+
+    hit = lambda t: f"regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')"
+    rules = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in RULES)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+    WITH split AS (
+      SELECT page_id, translate(coalesce(url, ''), '{upper}', '{lower}') AS u,
+        CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, position('://' IN url) + 3), '^[^/?#]*') ELSE '' END AS h,
+        CASE WHEN contains(url, '://') THEN regexp_extract(substr(url, position('://' IN url) + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+      FROM pages),
+    hosted AS (SELECT page_id, u, translate(h, '{upper}', '{lower}') AS host, path FROM split),
+    rules(verdict, rule_host, rule_path) AS (VALUES {rules}),
+    fit AS (
+      SELECT h.page_id, arg_max(r.rule_host || r.rule_path, length(r.rule_host || r.rule_path)) AS rule, arg_max(r.verdict, length(r.rule_host || r.rule_path)) AS ruled
+      FROM hosted h JOIN rules r ON (h.host = r.rule_host OR ends_with(h.host, '.' || r.rule_host)) AND starts_with(h.path, r.rule_path)
+      GROUP BY h.page_id),
+    words AS (
+      SELECT page_id, ({" OR ".join(map(hit, STRICT_TERMS))}) AS strict, {" + ".join(f"CAST({hit(t)} AS INT)" for t in SOFT_TERMS)} AS soft FROM hosted)
+    SELECT h.page_id, h.host, h.path, f.rule, coalesce(f.ruled, CASE WHEN w.strict OR w.soft >= {LEAST_SOFT} THEN 'block' ELSE 'allow' END) AS verdict
+    FROM hosted h JOIN words w USING (page_id) LEFT JOIN fit f USING (page_id)"""
+
+
 def op7_repair_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import repair
 
@@ -51,9 +89,13 @@ def op9_decontaminate_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_config_lp": op1_pack_config_lp,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
+    "op4_warc_normaliser": op4_warc_normaliser,
+    "op5_url_vocabulary": op5_url_vocabulary,
     "op7_repair_token_shards": op7_repair_token_shards,
     "op8_simhash_multi_index": op8_simhash_multi_index,
     "op9_decontaminate_index": op9_decontaminate_index,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_url_vocabulary": op5_sql(),
+}
