@@ -64,6 +64,13 @@ def op5_sql() -> str:
     FROM hosted h JOIN words w USING (page_id) LEFT JOIN fit f USING (page_id)"""
 
 
+def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import qualityrules
+
+    found = qualityrules.judge(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op7_repair_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import repair
 
@@ -86,14 +93,25 @@ def op9_decontaminate_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op10_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", fold.alias("held_out"))
+    found = langid.identify(docs, docs.filter("not held_out"), keep=("held_out",))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_config_lp": op1_pack_config_lp,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_warc_normaliser": op4_warc_normaliser,
     "op5_url_vocabulary": op5_url_vocabulary,
+    "op6_divergence_rules": op6_divergence_rules,
     "op7_repair_token_shards": op7_repair_token_shards,
     "op8_simhash_multi_index": op8_simhash_multi_index,
     "op9_decontaminate_index": op9_decontaminate_index,
+    "op10_language_kernel": op10_language_kernel,
 }
 
 ORACLE_SQL: dict[str, str] = {
