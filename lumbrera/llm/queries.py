@@ -19,6 +19,14 @@ def op1_pack_config_lp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import cotrain
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    model = cotrain.train(docs, table(spark, sf_dir, "labels"))
+    return cotrain.score(docs, model).select("doc_id", "content_score", "metadata_score", "score", "kept")
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import suffixes
 
@@ -104,6 +112,7 @@ def op10_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_config_lp": op1_pack_config_lp,
+    "op2_cotrained_quality": op2_cotrained_quality,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_warc_normaliser": op4_warc_normaliser,
     "op5_url_vocabulary": op5_url_vocabulary,
