@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Written, only, slices
-from .tokens import Encoder, public_path
+from .common import SLICE_BYTES, Written, only, slices
+from .tokens import encoder, public_path
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary, part int, rank long"
 
@@ -166,13 +166,13 @@ def cut_pieces(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, capac
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part = Encoder(tokenizer, spaced), TaskContext.get().partitionId()
+        words, part = encoder(tokenizer, spaced), TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 3 * SLICE_BYTES):
             out = [[] for _ in range(7)]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text) + end
+            for doc, ids in zip(batch.column(0).to_pylist(), words.encode_many(batch.column(1).to_pylist()), strict=True):
+                ids += end
                 n, start, piece = len(ids) // 4, 0, 0
                 while start < n:
                     length = (n % capacity or min(n, capacity)) if not piece else capacity

@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import os
+from array import array
+from functools import lru_cache
+from itertools import pairwise
+from unicodedata import is_normalized
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def public_path(name: str) -> str:
@@ -13,70 +19,127 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _Words(dict):
-    """word -> its ids as little-endian unsigned 32-bit; emptied when full, so memory is bounded.
+#: White space other than space and newline, as Python and the vocabularies' patterns know it.
+_OTHER_SPACE = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+#: A lone newline or space between words is regular; all else is encoded with its whole text.
+_IRREGULAR = ("  ", "\n\n", " \n", "\n ", *_OTHER_SPACE)
 
-    A comma or full stop after a letter is a piece of its own in both vocabularies,
-    and a vocabulary without case sees the same in ``And`` and ``and``.
-    """
 
-    def __init__(self, encode, prefix: str, most: int, cased: bool):
-        super().__init__()
-        self._encode, self._prefix, self._most, self._cased = encode, prefix, most, cased
-        self._mark = {c: encode(c) for c in ",."}
+#: Letters whose lower case depends on their neighbours or is more than a letter.
+_ODD_CASE = frozenset("\u03a3\u0130")
 
-    def __missing__(self, word: str) -> bytes:
-        if word[-1:] in self._mark and word[-2:-1].isalpha():
-            ids = self[word[:-1]] + self._mark[word[-1]]
-        elif not self._cased and word.isascii() and word.isalpha() and not word.islower():
-            ids = self[word.lower()]
-        else:
-            ids = self._encode(self._prefix + word)
-        if len(word) < 64:
-            if len(self) >= self._most:
-                self.clear()
-            self[word] = ids
-        return ids
+
+def _folded(text: str) -> str:
+    """Lower case, where that is the same letter by letter and can't make a special token."""
+    return text if "<|" in text or any(c in text for c in _ODD_CASE) else text.lower()
 
 
 class Encoder:
-    """``encode(text)`` gives the ids of ``Tokenizer.encode(text, add_special_tokens=False)`` as bytes.
+    """Ids of ``Tokenizer.encode(text, add_special_tokens=False)``, as little-endian unsigned 32-bit.
 
     Both supported vocabularies cut a text before byte-pair merging so that no
-    piece spans a single space between two words; each word's ids can be kept.
-    ``spaced``: a word's leading space belongs to it (byte-level vocabularies);
-    otherwise white space is dropped. Texts with other white space are encoded whole.
+    piece spans a single space or newline between two words, so a batch is
+    encoded by its distinct words; their ids are kept between batches, up to
+    ``most_words``. ``spaced``: a word's leading space belongs to it
+    (byte-level vocabularies); otherwise white space is dropped. Texts with
+    other white space are encoded whole.
     """
 
-    def __init__(self, path: str, spaced: bool, most_words: int = 400_000):
+    def __init__(self, path: str, spaced: bool, most_words: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-
-        def whole(text: str) -> bytes:
-            return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-        self._whole, self._spaced = whole, spaced
-        self._plain = _Words(whole, "", most_words, spaced)
-        self._after_space = _Words(whole, " ", most_words, spaced) if spaced else self._plain
-        self._newline = whole("\n")
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        words = text.split()
-        if not words:
-            return self._whole(text)
-        lines = text.split("\n")
-        gaps = len(words) - 1
-        if text.count(" ") + len(lines) - 1 != gaps or sum(map(len, words)) + gaps != len(text):
-            return self._whole(text)
-        get, first = self._after_space.__getitem__, self._plain.__getitem__
+        self._tokenizer, self._spaced, self._most = Tokenizer.from_file(path), spaced, most_words
+        self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+        self._marks = {c: self.whole(c) for c in ",."}
+        self._newline = self.whole("\n")
+        self._model = self._tokenizer.model
+        # Byte-level vocabularies write a byte as a printable character: itself, or one from 256 on.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self._shown = {b: 256 + i for i, b in enumerate(hidden)}
+        self._space = chr(self._shown[32])
+
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """A word of a batch: one that begins with a newline stands after it, any other after a space."""
+        if word[:1] == "\n":
+            return self._newline + self.whole(word[1:])
+        return self.whole(" " + word if self._spaced else word)
+
+    def _is_letters(self, word: str) -> bool:
+        """Whether the word is one piece, which byte-pair merging gets as it is or in lower case."""
+        if not word.isalpha():
+            return False
+        return self._spaced or word.isascii() or (is_normalized("NFC", word) and word.lower().isalpha() and not _ODD_CASE.intersection(word))
+
+    def _letters(self, word: str, space: bool) -> bytes:
+        """The ids of one piece of letters, straight from the vocabulary's model."""
         if not self._spaced:
-            return b"".join(map(get, words))
-        out = []
-        for line in lines:
-            head, *rest = line.split(" ")
-            out.append(first(head) + b"".join(map(get, rest)))
-        return self._newline.join(out)
+            word = word.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self._shown)
+        return array("I", [t.id for t in self._model.tokenize(self._space + word if space else word)]).tobytes()
+
+    def _learn(self, distinct: list[str]) -> None:
+        """All distinct words of a batch are known afterwards."""
+        known, older = self._known, self._older
+        if len(known) > self._most:
+            self._older, self._known = older, known = known, {}
+        unseen = [w for w in distinct if w not in known]
+        if older:
+            known.update({w: older[w] for w in unseen if w in older})
+            unseen = [w for w in unseen if w not in known]
+        # A comma or full stop after letters is a piece of its own in both vocabularies.
+        marked = [w for w in unseen if w[-1:] in self._marks and w[-2:-1].isalpha()]
+        stems = {w[:-1] for w in marked}
+        stems.update(w for w in unseen if w[-1:] not in self._marks or not w[-2:-1].isalpha())
+        stems.difference_update(known)
+        letters = [w for w in stems if self._is_letters(w)]
+        known.update((w, self._letters(w, self._spaced)) for w in letters)
+        lined = [w for w in stems if w[:1] == "\n" and self._is_letters(w[1:])]
+        known.update((w, self._newline + self._letters(w[1:], False)) for w in lined)
+        known.update((w, self._word(w)) for w in stems.difference(letters, lined))
+        for word in marked:
+            stem = word[:-1]
+            sure = stem.isascii() or stem[-1].lower().isalpha()
+            known[word] = known[stem] + self._marks[word[-1]] if sure else self._word(word)
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; null and empty texts have none. Copies are encoded once."""
+        known = dict.fromkeys(texts)
+        known.update(zip(known, self._encode_distinct(list(known)), strict=True))
+        return [known[t] for t in texts]
+
+    def _encode_distinct(self, texts: list[str | None]) -> list[bytes]:
+        odd = {i: self.whole(t) for i, t in enumerate(texts) if t and (t[0] in " \n" or t[-1] in " \n" or any(s in t for s in _IRREGULAR))}
+        if self._spaced:
+            lined = ["\n" + t.replace("\n", " \n") if t and i not in odd else "\n" for i, t in enumerate(texts)]
+        else:
+            lined = [_folded(t.replace("\n", " ")) if t and i not in odd else "" for i, t in enumerate(texts)]
+        words = pc.split_pattern(pa.array([" ".join(lined)], pa.large_string()), " ").values.dictionary_encode()
+        distinct, code = words.dictionary.to_pylist(), words.indices.to_numpy()
+        self._learn(distinct)
+        found = [self._known[w] for w in distinct]
+        ids, size = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        start, words_in = np.cumsum(size) - size, np.array([t.count(" ") + 1 for t in lined])
+        skip = len(self._newline) // 4 if self._spaced else 0  # of the newline put before each text
+        out, at = [], 0
+        for chunk in np.array_split(words_in, max(1, len(code) >> 19)):  # bounded arrays for any batch
+            own = code[at : at + int(chunk.sum())]
+            at += len(own)
+            n = size[own]
+            ends = np.cumsum(n)
+            whole = ids[np.arange(int(n.sum())) + np.repeat(start[own] - ends + n, n)]
+            last = ends[np.cumsum(chunk) - 1].tolist() if len(chunk) else []
+            out += [whole[a + skip : b].tobytes() for a, b in pairwise([0, *last])]
+        return [odd.get(i, x) for i, x in enumerate(out)]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, spaced: bool) -> Encoder:
+    """One per Python worker, so that tasks share what is known."""
+    return Encoder(path, spaced)
