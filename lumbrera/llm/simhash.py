@@ -173,3 +173,168 @@ def near_duplicate_components(docs: DataFrame, width: int = 4, distance: int = 4
     component = connected_components(link_fingerprints(nodes, distance, segments))
     named = nodes.join(component, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+# Near-duplicates by similarity: the fingerprints propose, the shingles decide.
+
+
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    """Other hashes of the same shingles, for a second fingerprint."""
+    x = hashes + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def double_fingerprints(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """doc_id, fp, fp2 and band: the order of magnitude of the number of distinct shingles, to the base 1 / similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            known: dict[str | None, tuple[int, int, int]] = {}
+            texts = batch.column(1).to_pylist()
+            for text in texts:
+                if text not in known:
+                    h = shingle_hashes(text, width)
+                    band = int(np.log(max(len(np.unique(h)), 1)) / -np.log(similarity) + 1e-9)
+                    known[text] = (fingerprint(h), fingerprint(_mixed(h)), band)
+            columns = [pa.array([known[t][i] for t in texts], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "fp", "fp2", "band"])
+
+    return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, fp2 long, band int")
+
+
+def _spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Indexes of the edges of a minimum spanning forest."""
+    parent, used = np.arange(n), []
+    order = np.argsort(weight, kind="stable")
+    cuts = np.nonzero(np.diff(weight[order]))[0] + 1
+    for level in np.split(order, cuts):
+        while len(level):
+            x, y = _roots(parent, a[level]), _roots(parent, b[level])
+            apart = x != y
+            level, x, y = level[apart], x[apart], y[apart]
+            if not len(level):
+                break
+            low, high = np.minimum(x, y), np.maximum(x, y)
+            first = np.lexsort((low, high))
+            first = first[np.concatenate([[True], np.diff(high[first]) != 0])]
+            parent[high[first]] = low[first]
+            used.append(level[first])
+    return np.concatenate(used) if used else np.zeros(0, np.int64)
+
+
+def closest_forest(fp: np.ndarray, fp2: np.ndarray, held: np.ndarray, low: int, bits: int, radius: int, distance: int, most_pairs: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (row, row, distance over both fingerprints) of a minimum spanning forest of the table rows and their probes."""
+    mask = np.uint64((1 << bits) - 1)
+    value = (fp >> np.uint64(low)) & mask
+    table, probes = np.nonzero(held)[0], np.nonzero(~held)[0]
+    table = table[np.argsort(value[table], kind="stable")]
+    ordered, asked = value[table], value[probes]
+    a = b = weight = np.zeros(0, np.int64)
+    for flip in hamming_ball(bits, radius):
+        begin = np.searchsorted(ordered, asked ^ flip, "left")
+        n = np.searchsorted(ordered, asked ^ flip, "right") - begin
+        mine = np.nonzero(n)[0]
+        total, at = np.cumsum(n[mine]), 0
+        while at < len(mine):
+            before = int(total[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(total, before + most_pairs, "right")))
+            count = n[mine[at:to]]
+            probe = probes[np.repeat(mine[at:to], count)]
+            row = table[np.repeat(begin[mine[at:to]] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))]
+            apart = np.bitwise_count(fp[row] ^ fp[probe]).astype(np.int64)
+            near = np.nonzero(apart <= distance)[0]
+            apart = apart[near] + np.bitwise_count(fp2[row[near]] ^ fp2[probe[near]])
+            close = apart <= distance
+            if close.any():
+                a, b, weight = (np.concatenate(x) for x in ((a, row[near][close]), (b, probe[near][close]), (weight, apart[close])))
+                if len(a) > 4 * len(fp):
+                    keep = _spanning(len(fp), a, b, weight)
+                    a, b, weight = a[keep], b[keep], weight[keep]
+            at = to
+    keep = _spanning(len(fp), a, b, weight)
+    return a[keep], b[keep], weight[keep]
+
+
+def propose_links(nodes: DataFrame, distance: int, segments: int, radius: int, probe_rows: int = 60_000) -> DataFrame:
+    """Links (a, b) between nodes (fp, fp2, band, node) that are closest in both fingerprints, a forest per table part."""
+    bounds = segment_bounds(segments)
+    key = lambda i, shift: F.col("band") * segments + F.lit(i + shift * segments)
+    counts = {r["band"]: r["n"] for r in nodes.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}
+    salted = {k: -(-sum(counts.get(k + d, 0) for d in (-1, 0, 1)) // probe_rows) for k in counts}
+    table = F.create_map(*[F.lit(x).cast("int") for kv in salted.items() for x in kv]) if salted else F.create_map(F.lit(0), F.lit(1))
+    salts = F.coalesce(table[F.floor(F.col("k") / segments).cast("int")], F.lit(1))
+    columns = ["fp", "fp2", "node"]
+    asked = nodes.select(*columns, F.explode(F.array(*[key(i, d) for i in range(segments) for d in (-1, 0, 1)])).alias("k"))
+    asked = asked.select("k", F.pmod(F.xxhash64("fp"), salts).cast("int").alias("salt"), F.lit(False).alias("held"), *columns)
+    held = nodes.select(*columns, F.explode(F.array(*[key(i, 0) for i in range(segments)])).alias("k"))
+    held = held.select("k", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(True).alias("held"), *columns)
+
+    def link(of: tuple, rows: pa.Table) -> pa.Table:
+        fp, fp2, node = (rows[c].to_numpy() for c in columns)
+        flags = rows["held"].to_numpy(zero_copy_only=False)
+        low, bits = bounds[of[0].as_py() % segments]
+        # A node's own probe and table row are one vertex.
+        distinct, vertex = np.unique(node, return_inverse=True)
+        a, b, _ = closest_forest(fp.view(np.uint64), fp2.view(np.uint64), flags, low, bits, radius, distance) if flags.any() else (np.zeros(0, np.int64),) * 3
+        x, y = distinct[vertex[a]], distinct[vertex[b]]
+        apart = x != y
+        return pa.table({"a": np.maximum(x, y)[apart], "b": np.minimum(x, y)[apart]})
+
+    return asked.union(held).groupBy("k", "salt").applyInArrow(link, "a long, b long").distinct()
+
+
+def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            sets = [np.unique(shingle_hashes(t, width) >> np.uint64(32)).astype("<u4").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, shingles binary")
+
+
+def similar_enough(links: DataFrame, docs: DataFrame, width: int, similarity: float, broadcast_rows: int) -> DataFrame:
+    """The links whose documents' distinct shingles have a Jaccard similarity of ``similarity`` or more."""
+    ends = Written(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "link-ends").df
+    few = ends.count() <= broadcast_rows
+    wanted = only(docs, "doc_id", "text").join(F.broadcast(ends) if few else ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = Written(_shingle_sets(wanted, width), "shingle-sets").df
+    pairs = links.join(sets.withColumnsRenamed({"node": "a", "shingles": "s"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "t"}), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                s, t = np.frombuffer(s, "<u4"), np.frombuffer(t, "<u4")
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                keep.append(both >= similarity * (len(s) + len(t) - both))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+
+    return pairs.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+
+
+def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = 32, segments: int = 4, radius: int = 2, broadcast_rows: int = 400_000) -> DataFrame:
+    """doc_id, component_id: groups of documents linked by a Jaccard similarity of ``width``-word shingles of ``similarity`` or more.
+
+    Equal texts, and texts equal in both fingerprints, are one node. Links are
+    proposed by multi-index hashing (every pair with at most
+    segments * (radius + 1) - 1 different bits in the first fingerprint, and most
+    pairs beyond), as a minimum spanning forest by the distance over both
+    fingerprints, and each is held against the shingles themselves.
+    """
+    fps = Written(double_fingerprints(docs, width, similarity).filter(F.col("doc_id").isNotNull()), "double-fingerprints").df
+    nodes = Written(fps.groupBy("fp", "fp2").agg(F.min("band").alias("band"), F.min("doc_id").alias("node")), "double-nodes").df
+    links = Written(propose_links(nodes, distance, segments, radius), "proposed-links").df
+    checked = Written(similar_enough(links, docs, width, similarity, broadcast_rows), "checked-links").df
+    named = nodes.join(connected_components(checked), "node", "left").select("fp", "fp2", F.coalesce("component", "node").alias("component_id"))
+    return fps.join(named, ["fp", "fp2"]).select("doc_id", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, broadcast_rows: int = 400_000, **options: float) -> DataFrame:
+    """docs without the documents whose component is named by another; rows with a null doc_id stay."""
+    found = Written(similar_components(docs, **options), "components").df
+    gone = Written(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone").df
+    kept = docs.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, "doc_id", "left_anti").select(*docs.columns)
+    again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id"]) if again else kept

@@ -410,8 +410,11 @@ def kept_bytes(text: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, int,
     return kept, int((end - begin).sum()), len(begin)
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns of ``keep``, n_bytes, n_removed, n_spans and kept (binary) of every document."""
+def remove_repeats(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+    """doc_id, the columns of ``keep``, n_bytes, n_removed, n_spans and kept of every document.
+
+    kept is binary; ``as_text``: a string, without the characters that were cut in part, and null for null text.
+    """
     buckets = buckets_for(input_bytes(docs, "text"), BUCKET_BYTES)
     base = only(docs, "doc_id", "text", *keep).withColumn("row", F.xxhash64("doc_id", "text"))
     base = base.withColumn("text", F.col("text").cast("binary")).withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -419,7 +422,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = ()
     found = Written(recurring(find_anchors(lean, length, buckets), buckets), "recurring", "none")
     marks = Written(repeats(contexts(lean, found.df, length, buckets), length, buckets), "repeats", "none")
     fields = [f for f in base.schema.fields if f.name in keep]
-    kept_schema = pa.schema([("doc_id", pa.int64()), *[(f.name, _arrow(f.dataType)) for f in fields], ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
+    kept_schema = pa.schema([("doc_id", pa.int64()), *[(f.name, _arrow(f.dataType)) for f in fields], ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.string() if as_text else pa.binary())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         entries = _blobs(right) if right.num_rows else [np.zeros(0, np.int64)] * 3
@@ -430,12 +433,15 @@ def remove_repeats(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = ()
         for text, row in zip(left["text"].to_pylist(), left["row"].to_pylist(), strict=True):
             s = where.get(row, none)
             out.append((len(text or b""), *kept_bytes(text or b"", entries[1][s], entries[2][s])))
-        columns = [left["doc_id"], *(left[c] for c in keep), *(pa.array([x[i] for x in out], pa.int64()) for i in (0, 2, 3)), pa.array([x[1] for x in out], pa.binary())]
+        kept = [x[1] for x in out]
+        if as_text:
+            kept = [None if t is None else k.decode("utf-8", "ignore") for k, t in zip(kept, left["text"].to_pylist(), strict=True)]
+        columns = [left["doc_id"], *(left[c] for c in keep), *(pa.array([x[i] for x in out], pa.int64()) for i in (0, 2, 3)), pa.array(kept, kept_schema.field("kept").type)]
         return pa.Table.from_arrays(columns, schema=kept_schema)
 
     every = found.df.filter("kind = 1").select("bucket", "blob").union(marks.df.select("bucket", "blob"))
     cut = base.withColumn("bucket", F.pmod("row", F.lit(buckets)).cast("int"))
-    schema = ", ".join(["doc_id long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_bytes long, n_removed long, n_spans long, kept binary"])
+    schema = ", ".join(["doc_id long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_bytes long, n_removed long, n_spans long", f"kept {'string' if as_text else 'binary'}"])
     return cut.groupBy("bucket").cogroup(every.groupBy("bucket")).applyInArrow(run, schema)
 
 
