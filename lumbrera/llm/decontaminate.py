@@ -118,14 +118,16 @@ def phrase_matches(index: PositionalIndex, window: int = 10, lists: int = 2) ->
     """d, r, item_id, b, runs: exact matches as word intervals [lo, hi) of the document, each a run of whole windows."""
     aligned = Written(align(index, window, lists), "alignments").df
     keys = Written(aligned.select("d", "r").distinct(), "aligned-documents").df
-    texts = index.texts().join(_checked(keys, keys.count(), BROADCAST_KEYS), ["d", "r"], "left_semi").distinct()
-    words = texts.select("d", "r", raw_words(F.col("text")).alias("words"))
+    texts = index.texts().join(_checked(keys, keys.count(), BROADCAST_KEYS), ["d", "r"], "left_semi")
+    words = Written(texts.select("d", "r", F.transform(raw_words(F.col("text")), lower_ascii).alias("words")), "aligned-words").df
     items = _checked(index.items, index.items.count(), BROADCAST_ROWS)
-    pair = aligned.join(items, "b").join(words, ["d", "r"])
+    pair = aligned.join(words, ["d", "r"]).select("d", "r", "b", "shift", "words").join(items, "b")
     start = F.greatest(F.col("shift"), F.lit(0))
-    part = pair.select("d", "r", "b", "item_id", "n", "w", start.alias("start"), "shift", F.expr("slice(words, greatest(shift, 0) + 1, greatest(n + least(shift, 0), 0))").alias("own"))
-    same = F.expr("array_join(transform(sequence(0, size(own) - 1), i -> if(w[i + start - shift] = if(octet_length(own[i]) = char_length(own[i]), lower(own[i]), translate(own[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), '1', '0')), '')")
-    marked = part.filter(F.size("own") > 0).select("d", "r", "b", "item_id", "start", F.least(F.col("n"), F.lit(window)).alias("need"), same.alias("same"))
+    own = F.expr("slice(words, greatest(shift, 0) + 1, greatest(n + least(shift, 0), 0))")
+    item = F.expr("slice(w, greatest(-shift, 0) + 1, greatest(n + least(shift, 0), 0))")
+    same = F.array_join(F.zip_with(own, item, lambda x, y: F.when(x.eqNullSafe(y), "1").otherwise("0")), "")
+    marked = pair.select("d", "r", "b", "item_id", start.alias("start"), F.least(F.col("n"), F.lit(window)).alias("need"), same.alias("same"))
+    marked = marked.filter(F.expr("locate(repeat('1', need), same) > 0"))
     runs = F.expr(
         "transform(filter(sequence(1, length(same)), i -> (i = 1 or substring(same, i - 1, 1) = '0') and substring(same, i, need) = repeat('1', need)),"
         " i -> named_struct('lo', start + i - 1, 'hi', start + locate('0', concat(same, '0'), i) - 1))"
