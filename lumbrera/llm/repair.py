@@ -30,70 +30,77 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Written, only, slices
-from .tokens import Encoder, public_path
+from .common import SLICE_BYTES, Written, only, slices
+from .tokens import encoder, public_path
 
 SHARDS = "part int, shard int, start long, n_tokens long, payload binary"
 _MAGIC, _NULL = b"RPG1", np.iinfo(np.int64).min
-_HASH = np.uint64(0x9E3779B97F4A7C15)
+_HASH, _SLOT_BITS = np.uint64(0x9E3779B97F4A7C15), 18
 
 
 def _frequent_pairs(seq: np.ndarray, end_id: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of frequent pairs, their keys, and the frequent keys from the most frequent down.
+    """Places of the most frequent pairs, their ranks (0: most frequent), and the pairs by rank.
 
-    Pairs are first counted by hash; only positions whose hash is frequent are counted exactly.
+    Pairs are counted in hashed slots; of pairs that share a slot one stands for it in this round.
     """
     keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-    slot = ((keys * _HASH) >> np.uint64(44)).astype(np.int32)
-    often = np.bincount(slot, minlength=1 << 20) >= least
-    at = np.nonzero(often[slot] & (seq[:-1] != end_id))[0]
-    found, counts = np.unique(keys[at], return_counts=True)
-    found, counts = found[counts >= least], counts[counts >= least]
-    order = np.lexsort((found, -counts))[:most]
-    return at, keys[at], found[order]
-
-
-def compress(ids: np.ndarray, base: int, end_id: int, rounds: int = 6, least: int = 12, most: int = 4096) -> tuple[np.ndarray, list[np.ndarray]]:
+    slot = ((keys * _HASH) >> np.uint64(64 - _SLOT_BITS)).astype(np.int32)
+    at = np.nonzero((np.bincount(slot, minlength=1 << _SLOT_BITS) >= least)[slot] & (seq[:-1] != end_id))[0]
+    keys, slot = keys[at], slot[at]
+    owner = np.zeros(1 << _SLOT_BITS, np.uint64)
+    owner[slot] = keys
+    own = owner[slot] == keys
+    at, slot = at[own], slot[own]
+    count = np.bincount(slot, minlength=1 << _SLOT_BITS)
+    frequent = np.nonzero(count >= least)[0]
+    frequent = frequent[np.lexsort((owner[frequent], -count[frequent]))[:most]]
+    rank = np.full(1 << _SLOT_BITS, -1, np.int32)
+    rank[frequent] = np.arange(len(frequent))
+    rank_at = rank[slot]
+    return at[rank_at >= 0], rank_at[rank_at >= 0], owner[frequent]
+
+
+def compress(ids: np.ndarray, base: int, end_id: int, rounds: int = 5, least: int = 12, most: int = 4096) -> tuple[np.ndarray, list[np.ndarray]]:
     """The reduced sequence and per round the pairs (n x 2) that nonterminals base, base + 1, ... stand for."""
     seq, rules, following = ids.astype(np.uint32), [], base
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        at, keys, frequent = _frequent_pairs(seq, end_id, least, most)
-        if not len(frequent):
+        at, rank, frequent = _frequent_pairs(seq, end_id, least, most)
+        if not len(at):
             break
-        order = np.argsort(frequent)
-        slot = np.minimum(np.searchsorted(frequent[order], keys), len(frequent) - 1)
-        is_frequent = frequent[order][slot] == keys
-        at, rank = at[is_frequent], order[slot[is_frequent]]
         # Of overlapping pairs the more frequent one goes; of equal ones the first.
         beside = at[1:] == at[:-1] + 1
         wins = np.ones(len(at), bool)
         wins[1:] &= ~beside | (rank[1:] < rank[:-1])
         wins[:-1] &= ~beside | (rank[:-1] <= rank[1:])
         at, rank = at[wins], rank[wins]
-        used, symbol = np.unique(rank, return_inverse=True)
+        used = np.bincount(rank, minlength=len(frequent)) > 0
+        symbol = np.cumsum(used) - 1
         pairs = frequent[used]
         rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        seq[at] = following + symbol
+        seq[at] = following + symbol[rank]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
-        following += len(used)
+        following += len(pairs)
     return seq, rules
 
 
+def _ranges(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return np.arange(int(count.sum())) + np.repeat(start - np.cumsum(count) + count, count)
+
+
 def expand(seq: np.ndarray, rules: list[np.ndarray], base: int) -> np.ndarray:
-    """Undo the rounds from the last to the first."""
-    top = base + sum(map(len, rules))
-    for pairs in reversed(rules):
-        top -= len(pairs)
-        nonterminal = seq >= top
-        out = np.repeat(seq, 1 + nonterminal.astype(np.int64))
-        first = (np.cumsum(1 + nonterminal) - 2)[nonterminal]
-        out[first], out[first + 1] = pairs[seq[nonterminal] - top].T
-        seq = out
-    return seq
+    """Every nonterminal is written out once, in the order of the rounds; the sequence then copies from there."""
+    flat, start, size = np.arange(base, dtype=np.uint32), np.arange(base), np.ones(base, np.int64)
+    for pairs in rules:
+        sides = pairs.reshape(-1).astype(np.int64)
+        own = flat[_ranges(start[sides], size[sides])]
+        grown = size[sides].reshape(-1, 2).sum(1)
+        start = np.concatenate([start, len(flat) + np.cumsum(grown) - grown])
+        size, flat = np.concatenate([size, grown]), np.concatenate([flat, own])
+    return flat[_ranges(start[seq], size[seq])]
 
 
 def _sizes(symbols: np.ndarray, expansion: np.ndarray, base: int) -> np.ndarray:
@@ -111,7 +118,7 @@ def _expansion_lengths(rules: list[np.ndarray], base: int) -> np.ndarray:
     return lengths
 
 
-def encode_shard(doc_ids: list, ids: list[bytes], base: int, end_id: int, rounds: int = 6) -> bytes:
+def encode_shard(doc_ids: list, ids: list[bytes], base: int, end_id: int, rounds: int = 5) -> bytes:
     whole = np.frombuffer(b"".join(ids), "<u4")
     seq, rules = compress(whole, base, end_id, rounds)
     expansion = _expansion_lengths(rules, base)
@@ -152,7 +159,7 @@ class Shard:
         return None if self.doc_ids[k] == _NULL else int(self.doc_ids[k])
 
     def ids(self) -> np.ndarray:
-        return expand(self.seq, self.rules, self.base).astype("<u4")
+        return expand(self.seq, self.rules, self.base).astype("<u4", copy=False)
 
     def document(self, k: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids start to stop of the k-th document; only the symbols that reach into them are expanded."""
@@ -171,7 +178,7 @@ def write_shards(
     spaced: bool = False,
     base: int = 49408,
     shard_tokens: int = 1 << 19,
-    rounds: int = 6,
+    rounds: int = 5,
 ) -> Written:
     """The written table of shards: part, shard, start (of the shard in its part), n_tokens, payload."""
     path = tokenizer or public_path("word_bpe_49k.json")
@@ -179,7 +186,7 @@ def write_shards(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, end = Encoder(path, spaced), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
+        words, part, end = encoder(path, spaced), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
         doc_ids, ids, held, shard, start = [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
@@ -189,10 +196,10 @@ def write_shards(
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], names=["part", "shard", "start", "n_tokens", "payload"])
 
-        for batch in slices(batches, "text", 1 << 20):
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for batch in slices(batches, "text", 3 * SLICE_BYTES):
+            for doc, own in zip(batch.column(0).to_pylist(), words.encode_many(batch.column(1).to_pylist()), strict=True):
                 doc_ids.append(doc)
-                ids.append(encoder.encode(text) + end)
+                ids.append(own + end)
                 held += len(ids[-1]) // 4
                 if held >= shard_tokens:
                     yield flush()

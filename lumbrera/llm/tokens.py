@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from array import array
 from functools import lru_cache
 from itertools import pairwise
+from string import punctuation
 from unicodedata import is_normalized
 
 import numpy as np
@@ -45,14 +47,14 @@ class Encoder:
     other white space are encoded whole.
     """
 
-    def __init__(self, path: str, spaced: bool, most_words: int = 350_000):
+    def __init__(self, path: str, spaced: bool, most_words: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tokenizer, self._spaced, self._most = Tokenizer.from_file(path), spaced, most_words
         self._known: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
-        self._marks = {c: self.whole(c) for c in ",."}
+        self._tails: dict[str, bytes] = {}
         self._newline = self.whole("\n")
         self._model = self._tokenizer.model
         # Byte-level vocabularies write a byte as a printable character: itself, or one from 256 on.
@@ -93,25 +95,41 @@ class Encoder:
         if older:
             known.update({w: older[w] for w in unseen if w in older})
             unseen = [w for w in unseen if w not in known]
-        # A comma or full stop after letters is a piece of its own in both vocabularies.
-        marked = [w for w in unseen if w[-1:] in self._marks and w[-2:-1].isalpha()]
-        stems = {w[:-1] for w in marked}
-        stems.update(w for w in unseen if w[-1:] not in self._marks or not w[-2:-1].isalpha())
+        # Punctuation and symbols after letters are a piece of their own in both vocabularies.
+        marked, stems = [], set()
+        for word in unseen:
+            stem = word.rstrip(punctuation)
+            if len(stem) < len(word) and stem.isalpha():
+                marked.append((word, stem))
+                stems.add(stem)
+            else:
+                stems.add(word)
         stems.difference_update(known)
         letters = [w for w in stems if self._is_letters(w)]
         known.update((w, self._letters(w, self._spaced)) for w in letters)
         lined = [w for w in stems if w[:1] == "\n" and self._is_letters(w[1:])]
         known.update((w, self._newline + self._letters(w[1:], False)) for w in lined)
         known.update((w, self._word(w)) for w in stems.difference(letters, lined))
-        for word in marked:
-            stem = word[:-1]
+        tails = self._tails
+        for word, stem in marked:
+            tail = word[len(stem) :]
+            if tail not in tails:
+                tails[tail] = self.whole(tail)
             sure = stem.isascii() or stem[-1].lower().isalpha()
-            known[word] = known[stem] + self._marks[word[-1]] if sure else self._word(word)
+            known[word] = known[stem] + tails[tail] if sure else self._word(word)
+        if len(tails) > self._most:
+            tails.clear()
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null and empty texts have none. Copies are encoded once."""
         known = dict.fromkeys(texts)
-        known.update(zip(known, self._encode_distinct(list(known)), strict=True))
+        collecting = gc.isenabled()
+        gc.disable()  # many short-lived objects and no cycles
+        try:
+            known.update(zip(known, self._encode_distinct(list(known)), strict=True))
+        finally:
+            if collecting:
+                gc.enable()
         return [known[t] for t in texts]
 
     def _encode_distinct(self, texts: list[str | None]) -> list[bytes]:
@@ -128,7 +146,7 @@ class Encoder:
         start, words_in = np.cumsum(size) - size, np.array([t.count(" ") + 1 for t in lined])
         skip = len(self._newline) // 4 if self._spaced else 0  # of the newline put before each text
         out, at = [], 0
-        for chunk in np.array_split(words_in, max(1, len(code) >> 19)):  # bounded arrays for any batch
+        for chunk in np.array_split(words_in, max(1, len(code) >> 17)):  # bounded arrays for any batch
             own = code[at : at + int(chunk.sum())]
             at += len(own)
             n = size[own]
