@@ -206,7 +206,7 @@ def export_files(members: DataFrame, uri: str) -> DataFrame:
         for batch in slices(batches, "content", 1):
             name, content, entries = (c[0].as_py() for c in batch.columns)
             for suffix, data in ((".warc.gz", content), (".idx", "".join(json.dumps(e) + "\n" for e in entries).encode())):
-                with store.open_output_stream(f"{folder}/{name}{suffix}") as out:
+                with store.open_output_stream(f"{folder}/{name}{suffix}", compression=None) as out:
                     out.write(data)
             yield pa.RecordBatch.from_arrays([pa.array([f"{uri}/{name}.warc.gz"]), pa.array([len(entries)], pa.int64())], names=["path", "n_records"])
 
