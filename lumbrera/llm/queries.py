@@ -123,6 +123,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_kernel": op10_language_kernel,
 }
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: Windows and bytes as hexadecimal digits.
+_OP3_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, substr(h, CAST(2 * p + 1 AS BIGINT), 100) AS s FROM d, unnest(range(0, greatest(length(h) // 2 - 49, 0))) t(p)),
+firsts AS (SELECT s, min(doc_id) AS f FROM w GROUP BY s),
+hit AS (SELECT doc_id, p AS hit FROM w JOIN firsts USING (s) WHERE f < doc_id),
+b AS (SELECT doc_id, p, substr(h, CAST(2 * p + 1 AS BIGINT), 2) AS x FROM d, unnest(range(0, length(h) // 2)) t(p)),
+m AS (SELECT b.doc_id, b.p, x, max(hit) OVER (PARTITION BY b.doc_id ORDER BY b.p) AS last FROM b LEFT JOIN hit ON hit.doc_id = b.doc_id AND hit.hit = b.p),
+g AS (SELECT doc_id, p, x, coalesce(p - last < 50, false) AS gone FROM m),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM g),
+sums AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(x, '' ORDER BY p) FILTER (NOT gone) AS kept FROM e GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id)"""
+
+_OP4_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+s AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS h, min(page_id) OVER (PARTITION BY payload) AS first FROM p),
+bits AS (SELECT *, array_to_string(list_transform(string_split(h, ''), lambda c: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][instr('0123456789abcdef', c)]), '') AS b FROM s)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 160, 5), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * CAST(substr(b, i + 1, 1) AS INT) + 8 * CAST(substr(b, i + 2, 1) AS INT) + 4 * CAST(substr(b, i + 3, 1) AS INT) + 2 * CAST(substr(b, i + 4, 1) AS INT) + CAST(substr(b, i + 5, 1) AS INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM bits"""
+
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_OP9_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[p + 1 : p + least(len(w), 10)], ' ') AS g FROM i, unnest(range(0, greatest(len(w) - 9, 1))) t(p) WHERE len(w) > 0),
+own AS (SELECT doc_id, p, n, array_to_string(w[p + 1 : p + n], ' ') AS g FROM d, (SELECT DISTINCT n FROM win), unnest(range(0, greatest(len(w) - n + 1, 0))) t(p)),
+met AS (SELECT doc_id, p, own.n AS n, item_id FROM own JOIN win ON own.n = win.n AND own.g = win.g),
+hits AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM met) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS k FROM met) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_suffix_array_dedup": _OP3_SQL,
+    "op4_warc_normaliser": _OP4_SQL,
     "op5_url_vocabulary": op5_sql(),
+    "op9_decontaminate_index": _OP9_SQL,
 }
