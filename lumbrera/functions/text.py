@@ -84,7 +84,7 @@ def without_leading(text: Column, words: Sequence[str]) -> Column:
 def name_variants(name: Column) -> Column:
     """Sorted normalised variants: ``B, A`` also as ``A B`` if there is one comma; each cut at slashes too."""
     parts = F.split(name, ",")
-    swapped = F.when(F.size(parts) == 2, F.concat_ws(" ", F.trim(parts[1]), F.trim(parts[0])))
+    swapped = F.when(F.size(parts) == 2, F.concat_ws(" ", F.trim(F.get(parts, F.lit(1))), F.trim(F.get(parts, F.lit(0)))))
     forms = F.array_compact(F.array(name, swapped))
     every = F.array_union(forms, F.flatten(F.transform(forms, lambda f: F.split(f, "/"))))
     return F.array_sort(F.array_except(F.array_distinct(F.transform(every, normalize)), F.array(F.lit(""))))
@@ -129,7 +129,7 @@ def single_power(text: Column) -> Column:
     pattern = rf"(?i){number}\s*(kw|mw|gw)"
     found = F.regexp_extract_all(value, F.lit(pattern), F.lit(1))
     unit = F.lower(F.regexp_extract(value, pattern, 2))
-    raw = found[0]
+    raw = F.get(found, F.lit(0))
     grouped = raw.rlike(r"^\d{1,3}(\.\d{3})+(,\d+)?$")
     plain = F.when(grouped, F.replace(F.replace(raw, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(raw, F.lit(","), F.lit(".")))
     mw = plain.cast("decimal(24,6)") * F.when(unit == "kw", F.lit("0.001").cast("decimal(6,3)")).when(unit == "gw", F.lit("1000.000").cast("decimal(7,3)")).otherwise(F.lit("1.000").cast("decimal(4,3)"))

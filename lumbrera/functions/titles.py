@@ -79,7 +79,7 @@ def _named(checks: dict[str, Column]) -> Column:
 def generation_type(text: Column) -> Column:
     """The one type whose pattern is found; null if none or several are."""
     found = _named({name: has(documentary(text), p) for name, p in GENERATION_TYPES.items()})
-    return F.when(F.size(found) == 1, found[0])
+    return F.when(F.size(found) == 1, F.get(found, F.lit(0)))
 
 
 def _terminated(key: Column) -> Column:

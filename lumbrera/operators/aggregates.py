@@ -50,7 +50,7 @@ def holds_all(observed: Column, required: Sequence[str]) -> Column:
 def name_identity(name: Column) -> Column:
     """The one name, or ``aliases:[a||b]`` of the sorted distinct ones; null without any."""
     names = F.array_sort(F.collect_set(F.nullif(F.trim(name), F.lit(""))))
-    return F.when(F.size(names) == 1, names[0]).when(F.size(names) > 1, F.concat(F.lit("aliases:["), F.array_join(names, "||"), F.lit("]")))
+    return F.when(F.size(names) == 1, F.get(names, F.lit(0))).when(F.size(names) > 1, F.concat(F.lit("aliases:["), F.array_join(names, "||"), F.lit("]")))
 
 
 def column_profile(df: DataFrame, key: Sequence[str] = ()) -> DataFrame:
