@@ -144,10 +144,15 @@ class Scorer:
         return names, scores
 
 
-def labelled_sample(docs: DataFrame, train_docs: int) -> tuple[list[np.ndarray], list[str]]:
-    """Distinct n-gram codes and labels of about ``train_docs`` documents per language, chosen by the hash of their ids."""
+def labelled_sample(docs: DataFrame, train_docs: int, least_share: float = 0.001) -> tuple[list[np.ndarray], list[str]]:
+    """Distinct n-gram codes and labels of about ``train_docs`` documents per language, chosen by the hash of their ids.
+
+    A language is learned if it has a thousandth of the labelled documents or more.
+    """
     usable = only(docs, "doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    by_language = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    total = by_language.agg(F.sum("n")).first()[0] or 0
+    counts = {r["lang"]: r["n"] for r in by_language.filter(F.col("n") >= least_share * total).collect()}
     if not counts:
         return [], []
     parts = 1 << 24
