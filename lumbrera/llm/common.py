@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator
 
@@ -66,6 +67,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
     import numpy as np
     import pyarrow.compute as pc
 
+    drop_stale()
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -78,3 +80,43 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, which an idle Python worker would otherwise hold beside the next operator's."""
+    import ctypes
+    import sys
+
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(OSError, AttributeError):  # another C library
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+_kept: dict[tuple, object] = {}
+_kept_stage = -1
+
+
+def _stage() -> int:
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    return context.stageId() if context else -1
+
+
+def drop_stale() -> None:
+    """Forget what earlier stages kept in this Python worker."""
+    global _kept_stage
+    if _kept_stage != (now := _stage()):
+        _kept.clear()
+        _kept_stage = now
+        give_back()
+
+
+def kept_for_stage(make, *key):  # noqa: ANN001, ANN201
+    """``make(*key)``, once per stage and Python worker, so that a stage's tasks share what they have learned."""
+    drop_stale()
+    if (make, *key) not in _kept:
+        _kept[(make, *key)] = make(*key)
+    return _kept[(make, *key)]

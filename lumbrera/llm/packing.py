@@ -169,7 +169,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, capac
         words, part = encoder(tokenizer, spaced), TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches, "text", 3 * SLICE_BYTES):
+        for batch in slices(batches, "text", 2 * SLICE_BYTES):
             out = [[] for _ in range(7)]
             for doc, ids in zip(batch.column(0).to_pylist(), words.encode_many(batch.column(1).to_pylist()), strict=True):
                 ids += end

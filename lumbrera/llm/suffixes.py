@@ -31,14 +31,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Written, buckets_for, input_bytes, only, slices
+from .common import SLICE_BYTES, Written, buckets_for, drop_stale, give_back, input_bytes, only, slices
 
 _KMER = 16
 _MULT = np.uint64(6364136223846793005)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LAST = np.iinfo(np.int64).max
 #: Text bytes per target of the dealt work.
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 3 << 20
 
 
 def pack_arrays(*arrays: np.ndarray) -> bytes:
@@ -144,7 +144,7 @@ def find_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
     """Blobs of anchors per bucket (kind 0), and of intervals that are settled already per document bucket (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", SLICE_BYTES):
+        for batch in slices(batches, "text", SLICE_BYTES // 2):
             ids, rows, texts = _documents(batch)
             data = np.frombuffer(b"".join(texts), np.uint8)
             ends = np.cumsum([len(t) for t in texts])
@@ -179,6 +179,7 @@ def find_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
 
 
 def _blobs(rows: pa.Table) -> list[np.ndarray]:
+    drop_stale()
     parts = [unpack_arrays(b) for b in rows["blob"].to_pylist()]
     return [np.concatenate(c) for c in zip(*parts, strict=True)]
 
@@ -392,6 +393,7 @@ def repeats(dealt: DataFrame, length: int, buckets: int) -> DataFrame:
 
     def run(rows: pa.Table) -> pa.Table:
         row, lo, hi = _repeats_in_bucket(*_blobs(rows), length)
+        give_back()
         return _deal_table(1, np.mod(row, buckets), (row, lo, hi))
 
     return dealt.groupBy("bucket").applyInArrow(run, "kind int, bucket int, blob binary")

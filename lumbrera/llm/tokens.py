@@ -5,7 +5,6 @@ from __future__ import annotations
 import gc
 import os
 from array import array
-from functools import lru_cache
 from itertools import pairwise
 from string import punctuation
 from unicodedata import is_normalized
@@ -14,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import kept_for_stage
+
 
 def public_path(name: str) -> str:
     import public_tokenizers
@@ -157,7 +158,6 @@ class Encoder:
         return [odd.get(i, x) for i, x in enumerate(out)]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, spaced: bool) -> Encoder:
-    """One per Python worker, so that tasks share what is known."""
-    return Encoder(path, spaced)
+    """One per Python worker and stage, so that tasks share what is known."""
+    return kept_for_stage(Encoder, path, spaced)
