@@ -25,7 +25,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Written, only, slices
@@ -140,12 +140,12 @@ def link_fingerprints(fps: DataFrame, distance: int = 4, segments: int = 3, part
     """Links (a, b) that connect the nodes of fps (fp, node; fp distinct) as all pairs within ``distance`` would."""
     spark, bounds, radius = fps.sparkSession, segment_bounds(segments), distance // segments
     n = fps.count()
-    lead = max(2, min(12, (max(n, 1) // part_rows).bit_length()))
+    lead = max(2, min(16, (max(n, 1) // part_rows).bit_length()))
     flips = [[0, *(int(m) for m in hamming_ball(lead, radius)[1:])] for _ in bounds]
     code = lambda i: F.shiftrightunsigned(F.col("fp"), bounds[i][0] + bounds[i][1] - lead).bitwiseAND(F.lit((1 << lead) - 1))
     parts = F.array(*[(F.lit(i << lead) + code(i)).cast("int") for i in range(segments)])
-    counts = {r["k"]: r["n"] for r in fps.select(F.explode(parts).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}
-    hot = {k: -(-c * len(flips[0]) // probe_rows) for k, c in counts.items() if c * len(flips[0]) > probe_rows}
+    counts = fps.select(F.explode(parts).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * len(flips[0]) > probe_rows)
+    hot = {r["k"]: -(-r["n"] * len(flips[0]) // probe_rows) for r in counts.collect()}  # at most segments * 2**16
     salts = F.create_map(*[F.lit(x).cast("int") for kv in hot.items() for x in kv])[F.col("k")] if hot else F.lit(None).cast("int")
     salts = F.coalesce(salts, F.lit(1))
     probes = F.array(*[(F.lit(i << lead) + code(i).bitwiseXOR(F.lit(m))).cast("int") for i in range(segments) for m in flips[i]])
@@ -257,24 +257,36 @@ def closest_forest(fp: np.ndarray, fp2: np.ndarray, held: np.ndarray, low: int,
     return a[keep], b[keep], weight[keep]
 
 
-def propose_links(nodes: DataFrame, distance: int, segments: int, radius: int, probe_rows: int = 60_000) -> DataFrame:
-    """Links (a, b) between nodes (fp, fp2, band, node) that are closest in both fingerprints, a forest per table part."""
+def propose_links(nodes: DataFrame, distance: int, segments: int, radius: int, part_rows: int = 200_000, probe_rows: int = 60_000) -> DataFrame:
+    """Links (a, b) between nodes (fp, fp2, band, node) that are closest in both fingerprints, a forest per table part.
+
+    A part is a segment and a band of sizes, and in large bands also the
+    segment's leading bits; probes go to the bands beside theirs, and to the
+    parts that a flip of leading bits leads to.
+    """
     bounds = segment_bounds(segments)
-    key = lambda i, shift: F.col("band") * segments + F.lit(i + shift * segments)
     counts = {r["band"]: r["n"] for r in nodes.groupBy("band").agg(F.count(F.lit(1)).alias("n")).collect()}
-    salted = {k: -(-sum(counts.get(k + d, 0) for d in (-1, 0, 1)) // probe_rows) for k in counts}
+    lead = min(12, (max(counts.values(), default=0) // part_rows).bit_length())
+    flips = [int(m) for m in hamming_ball(lead, radius)]
+
+    def key(i: int, shift: int, flip: int) -> Column:
+        low, bits = bounds[i]
+        code = F.shiftrightunsigned(F.col("fp"), low + bits - lead).bitwiseAND(F.lit((1 << lead) - 1)).bitwiseXOR(F.lit(flip))
+        return ((F.col("band") + F.lit(shift)).cast("long") * segments + F.lit(i)) * F.lit(1 << lead) + code
+
+    salted = {k: -(-sum(counts.get(k + d, 0) for d in (-1, 0, 1)) * len(flips) // (probe_rows << lead)) for k in counts}
     table = F.create_map(*[F.lit(x).cast("int") for kv in salted.items() for x in kv]) if salted else F.create_map(F.lit(0), F.lit(1))
-    salts = F.coalesce(table[F.floor(F.col("k") / segments).cast("int")], F.lit(1))
+    salts = F.coalesce(table[F.expr(f"CAST(k DIV {segments << lead} AS INT)")], F.lit(1))
     columns = ["fp", "fp2", "node"]
-    asked = nodes.select(*columns, F.explode(F.array(*[key(i, d) for i in range(segments) for d in (-1, 0, 1)])).alias("k"))
+    asked = nodes.select(*columns, F.explode(F.array(*[key(i, d, m) for i in range(segments) for d in (-1, 0, 1) for m in flips])).alias("k"))
     asked = asked.select("k", F.pmod(F.xxhash64("fp"), salts).cast("int").alias("salt"), F.lit(False).alias("held"), *columns)
-    held = nodes.select(*columns, F.explode(F.array(*[key(i, 0) for i in range(segments)])).alias("k"))
+    held = nodes.select(*columns, F.explode(F.array(*[key(i, 0, 0) for i in range(segments)])).alias("k"))
     held = held.select("k", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(True).alias("held"), *columns)
 
     def link(of: tuple, rows: pa.Table) -> pa.Table:
         fp, fp2, node = (rows[c].to_numpy() for c in columns)
         flags = rows["held"].to_numpy(zero_copy_only=False)
-        low, bits = bounds[of[0].as_py() % segments]
+        low, bits = bounds[(of[0].as_py() >> lead) % segments]
         # A node's own probe and table row are one vertex.
         distinct, vertex = np.unique(node, return_inverse=True)
         a, b, _ = closest_forest(fp.view(np.uint64), fp2.view(np.uint64), flags, low, bits, radius, distance) if flags.any() else (np.zeros(0, np.int64),) * 3

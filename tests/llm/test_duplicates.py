@@ -73,6 +73,20 @@ def test_links_reach_exactly_the_distance(spark, flips):
     assert [found.get(i, i) for i in range(len(fps))] == want
 
 
+@pytest.mark.parametrize("part_rows", [200_000, 3])
+def test_proposed_links_whatever_the_parts(spark, part_rows):
+    rng, rows = np.random.default_rng(8), []
+    for g in range(30):
+        a, b = (int(x) for x in rng.integers(0, 1 << 62, 2))
+        for k in range(3):
+            for bit in rng.choice(62, 3, replace=False):
+                a ^= 1 << int(bit)
+            rows.append((a, b, 5 + k % 2, 10 * g + k))
+    nodes = spark.createDataFrame(rows, "fp long, fp2 long, band int, node long")
+    found = connected_components(simhash.propose_links(nodes, 32, 4, 2, part_rows)).collect()
+    assert {(r["node"], r["component"]) for r in found} == {(n, n - n % 10) for _, _, _, n in rows}
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.range(1, 300).selectExpr("id AS a", "id - 1 AS b")
     assert {r["component"] for r in connected_components(chain).collect()} == {0}
