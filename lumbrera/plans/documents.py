@@ -196,3 +196,19 @@ def gold_project_events(t: Tables) -> DataFrame:
 def project_place_ids(t: Tables) -> DataFrame:
     key = F.concat(F.lit("v1|project:p|level:province|territory:"), F.col("n_nationkey").cast("string"))
     return t.nation.select("n_nationkey", F.concat(F.lit("place_"), I.uuid5(uuid.UUID(gold.PLACES.hex), key)).alias("place_id"))
+
+
+@query("SELECT n_regionkey AS k, n_name AS id, 't' || n_nationkey AS title, r_name AS department_name, CASE WHEN n_regionkey % 2 = 0 THEN 'H' END AS heading FROM nation JOIN region ON n_regionkey = r_regionkey")
+def summary_items(t: Tables) -> DataFrame:
+    """A daily summary per region, its nations under a heading or straight in a department."""
+    from ..sources.readers import summary_items as parse
+
+    item = F.struct(F.col("n_name").alias("identificador"), F.concat(F.lit("t"), F.col("n_nationkey").cast("string")).alias("titulo"))
+    rows = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("n_regionkey", "r_name").agg(F.collect_list(item).alias("items"))
+    even = F.col("n_regionkey") % 2 == 0
+    department = F.struct(F.col("r_name").alias("nombre"), F.when(~even, F.col("items")).alias("item"), F.when(even, F.struct(F.lit("H").alias("nombre"), F.col("items").alias("item"))).alias("epigrafe"))
+    section = F.struct(F.lit("1").alias("codigo"), department.alias("departamento"))
+    issue = F.struct(F.lit("7").alias("numero"), F.array(section).alias("seccion"))
+    summary = F.struct(F.struct(F.lit("20240102").alias("fecha_publicacion")).alias("metadatos"), issue.alias("diario"))
+    payload = F.to_json(F.struct(F.struct(summary.alias("sumario")).alias("data")))
+    return parse(rows.select(F.col("n_regionkey").alias("k"), payload.alias("p")), "p").select("k", "id", "title", "department_name", "heading")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,12 +67,68 @@ def xml_documents(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("file", one("identificador").alias("id"), F.to_date(one("fecha_publicacion"), "yyyyMMdd").alias("day"), one("titulo").alias("title"), clean(plain, keep_lines=True).alias("text"), "sha256", "length")
 
 
+def _objects(value: Column, path: str) -> Column:
+    """The raw JSON objects under a path that holds one, a list of them, or nothing."""
+    raw = F.get_json_object(value, path)
+    listed = F.when(F.ltrim(raw).startswith("["), raw).otherwise(F.concat(F.lit("["), raw, F.lit("]")))
+    return F.coalesce(F.from_json(listed, "array<string>"), F.array().cast("array<string>"))
+
+
+def _text(value: Column, path: str) -> Column:
+    return F.nullif(F.trim(F.get_json_object(value, path)), F.lit(""))
+
+
 def summary_items(payloads: DataFrame, payload: str) -> DataFrame:
-    """Items of daily summaries at any depth, given one or as a list: every object with an ``identificador`` and a ``titulo``."""
-    found = F.regexp_extract_all(F.col(payload), F.lit(r'(\{[^{}]*"identificador"[^{}]*(?:\{[^{}]*\}[^{}]*)*\})'), F.lit(1))
-    rows = payloads.select(*[c for c in payloads.columns if c != payload], F.explode(found).alias("__item"))
-    fields = F.from_json("__item", "identificador string, titulo string")
-    return rows.withColumn("__f", fields).select(*[c for c in rows.columns if c != "__item"], F.col("__f.identificador").alias("id"), F.col("__f.titulo").alias("title")).filter("id is not null")
+    """The items of daily summaries with their section, department and heading, wherever a department holds them.
+
+    Departments stand in a section or its text; their items stand in them, under
+    headings, in their text, or under the text's headings.
+    """
+    others = [c for c in payloads.columns if c != payload]
+    days = payloads.select(*others, F.col(payload).alias("p"), F.to_date(F.get_json_object(payload, "$.data.sumario.metadatos.fecha_publicacion"), "yyyyMMdd").alias("day"))
+    issues = days.select("*", F.explode(_objects(F.col("p"), "$.data.sumario.diario")).alias("issue"))
+    sections = issues.select("*", F.explode(_objects(F.col("issue"), "$.seccion")).alias("section"))
+    held = lambda path, prefix: F.transform(_objects(F.col("section"), path), lambda d: F.struct(d.alias("json"), F.lit(prefix).alias("prefix")))
+    departments = sections.select("*", F.explode(F.concat(held("$.departamento", "departamento"), held("$.texto.departamento", "seccion.texto.departamento"))).alias("d"))
+    own, prefix = F.col("d.json"), F.col("d.prefix")
+
+    def direct(path: str, where: str) -> Column:
+        return F.transform(_objects(own, path), lambda i: F.struct(i.alias("json"), F.lit(None).cast("string").alias("heading"), F.concat(prefix, F.lit(where)).alias("location")))
+
+    def headed(path: str, where: str) -> Column:
+        return F.flatten(F.transform(_objects(own, path), lambda h: F.transform(_objects(h, "$.item"), lambda i: F.struct(i.alias("json"), _text(h, "$.nombre").alias("heading"), F.concat(prefix, F.lit(where)).alias("location")))))
+
+    every = F.concat(headed("$.epigrafe", ".epigrafe.item"), direct("$.item", ".item"), direct("$.texto.item", ".texto.item"), headed("$.texto.epigrafe", ".texto.epigrafe.item"))
+    item = F.col("i.json")
+    return departments.select("*", F.explode(every).alias("i")).select(
+        *others, "day", _text(item, "$.identificador").alias("id"), _text(item, "$.titulo").alias("title"), _text(item, "$.url_html").alias("url_html"), _text(item, "$.url_xml").alias("url_xml"),
+        _text(F.col("issue"), "$.numero").alias("issue_number"), _text(F.col("section"), "$.codigo").alias("section_code"), _text(F.col("section"), "$.nombre").alias("section_name"),
+        _text(own, "$.codigo").alias("department_code"), _text(own, "$.nombre").alias("department_name"), F.col("i.heading").alias("heading"), F.col("i.location").alias("location"),
+    )
+
+
+@F.pandas_udf(T.LongType())
+def count_items(payload: pd.Series) -> pd.Series:
+    """Objects under keys named ``item`` at any depth of a JSON text."""
+    import json
+
+    def count(value: object) -> int:
+        if isinstance(value, list):
+            return sum(map(count, value))
+        if not isinstance(value, dict):
+            return 0
+        held = value.get("item")
+        return (0 if held is None else len(held) if isinstance(held, list) else 1) + sum(count(v) for k, v in value.items() if k != "item")
+
+    return payload.map(lambda p: 0 if p is None else count(json.loads(p)))
+
+
+def summary_problems(payloads: DataFrame, payload: str, key: str) -> DataFrame:
+    """key, n_parsed, n_expected, n_repeated of the summaries whose items weren't all found, or whose ids repeat."""
+    parsed = summary_items(payloads.select(key, payload), payload).groupBy(key, "id").agg(F.count(F.lit(1)).alias("n"))
+    sums = parsed.groupBy(key).agg(F.sum("n").alias("n_parsed"), F.count(F.when(F.col("n") > 1, 1)).alias("n_repeated"))
+    whole = payloads.select(key, count_items(F.col(payload)).alias("n_expected")).join(sums, key, "left").na.fill(0)
+    return whole.filter("n_parsed <> n_expected OR n_repeated > 0")
 
 
 def geojson(spark: SparkSession, path: str) -> DataFrame:

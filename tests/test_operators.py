@@ -210,3 +210,21 @@ def test_stream_keeps_the_latest(spark, tmp_path):
 def test_entry_points(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_summaries(spark):
+    import json
+
+    item = lambda i: {"identificador": f"X-{i}", "titulo": f" t{i} ", "url_xml": "u"}
+    sections = [
+        {"codigo": "1", "nombre": "A", "departamento": {"codigo": "9", "nombre": "D", "epigrafe": [{"nombre": "E", "item": item(1)}, {"nombre": "F", "item": [item(2), item(3)]}], "item": item(4)}},
+        {"codigo": "2", "texto": {"departamento": [{"nombre": "T", "texto": {"item": [item(5)], "epigrafe": {"nombre": "G", "item": item(6)}}}]}},
+    ]
+    good = {"data": {"sumario": {"metadatos": {"fecha_publicacion": "20240102"}, "diario": {"numero": "7", "seccion": sections}}}}
+    odd = {"data": {"sumario": {"metadatos": {"fecha_publicacion": "20240103"}, "diario": [{"numero": "8", "seccion": [{"item": item(1)}]}]}}}
+    df = spark.createDataFrame([(1, json.dumps(good)), (2, json.dumps(odd)), (3, None)], "k int, p string")
+    rows = {r["id"]: r for r in readers.summary_items(df, "p").collect()}
+    assert sorted(rows) == [f"X-{i}" for i in range(1, 7)]
+    assert (rows["X-1"]["heading"], rows["X-1"]["location"], rows["X-1"]["title"], str(rows["X-1"]["day"])) == ("E", "departamento.epigrafe.item", "t1", "2024-01-02")
+    assert rows["X-6"]["location"] == "seccion.texto.departamento.texto.epigrafe.item" and rows["X-5"]["heading"] is None
+    assert [tuple(r) for r in readers.summary_problems(df, "p", "k").collect()] == [(2, 1, 0, 0)]
