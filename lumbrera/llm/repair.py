@@ -196,7 +196,7 @@ def write_shards(
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], names=["part", "shard", "start", "n_tokens", "payload"])
 
-        for batch in slices(batches, "text", 2 * SLICE_BYTES):
+        for batch in slices(batches, "text", 4 * SLICE_BYTES):
             for doc, own in zip(batch.column(0).to_pylist(), words.encode_many(batch.column(1).to_pylist()), strict=True):
                 doc_ids.append(doc)
                 ids.append(own + end)
