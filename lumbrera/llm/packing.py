@@ -55,26 +55,33 @@ def _configuration(pick: np.ndarray, lengths: np.ndarray, room: int) -> dict[int
     return held
 
 
-def solve_fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, step: float) -> dict[tuple, float]:
+def solve_fractional(lengths: np.ndarray, demand: np.ndarray, capacity: int, rounds: int, step: float, near: float = 0.05) -> dict[tuple, float]:
     """Multiplicative weights on min sum(x) with every length covered.
 
-    In each round each length puts 1/rounds of its demand on the dearest
-    configuration that holds it; lengths covered more than others become cheaper.
+    In each round the dearest configuration and those nearly as dear, at most
+    one for each length, are taken as far as the scarcest length in them allows;
+    then the lengths that they cover become cheaper.
     """
     prices, load = lengths / capacity, np.zeros(len(lengths))
     x: dict[tuple, float] = defaultdict(float)
     for _ in range(rounds):
-        _, pick = _knapsack(lengths, prices, capacity)
-        for at in range(len(lengths)):
+        best, pick = _knapsack(lengths, prices, capacity)
+        worth = prices + best[capacity - lengths]
+        taken = set()
+        for at in np.nonzero(worth >= (1 - near) * worth.max())[0].tolist():
             held = _configuration(pick, lengths, capacity - int(lengths[at]))
             held[at] += 1
-            amount = demand[at] / rounds / held[at]
-            x[tuple(sorted(held.items()))] += amount
-            for i, c in held.items():
-                load[i] += amount * c / demand[i]
-        prices = prices * np.exp(-step * (load / load.mean() - 1).clip(-2, 2))
+            taken.add(tuple(sorted(held.items())))
+        gain = np.zeros(len(lengths))
+        for held in taken:
+            amount = min(demand[i] / c for i, c in held)
+            x[held] += amount
+            for i, c in held:
+                gain[i] += amount * c / demand[i]
+        load += gain
+        prices = prices * np.exp(-step * gain / gain.max())
         prices = prices / prices.max()
-    return {c: v / max(load[i] for i, _ in c) for c, v in x.items()}
+    return {held: amount / max(load[i] for i, _ in held) for held, amount in x.items()}
 
 
 def _best_fit(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -108,7 +115,7 @@ def _best_fit(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[tu
     return [g for found in groups.values() for g in found]
 
 
-def plan_packing(histogram: dict[int, int], capacity: int, rounds: int = 16, step: float = 0.5, passes: int = 3) -> list[tuple[dict[int, int], int]]:
+def plan_packing(histogram: dict[int, int], capacity: int, rounds: int = 80, step: float = 0.3, passes: int = 2) -> list[tuple[dict[int, int], int]]:
     """Configurations ({length: count}, copies) that hold exactly the pieces of the histogram."""
     lengths = np.array(sorted(k for k, n in histogram.items() if n and k < capacity), dtype=np.int64)
     demand = np.array([histogram[k] for k in lengths], dtype=np.int64)
@@ -169,7 +176,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, capac
         words, part = encoder(tokenizer, spaced), TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches, "text", 2 * SLICE_BYTES):
+        for batch in slices(batches, "text", 4 * SLICE_BYTES):
             out = [[] for _ in range(7)]
             for doc, ids in zip(batch.column(0).to_pylist(), words.encode_many(batch.column(1).to_pylist()), strict=True):
                 ids += end
@@ -192,7 +199,7 @@ def pack(
     end_id: int = 0,
     capacity: int = 2048,
     spaced: bool = True,
-    rounds: int = 16,
+    rounds: int = 80,
     keep: tuple[str, ...] = ("ids",),
 ) -> DataFrame:
     """Each piece with ``sequence_id`` and ``offset``; ``keep`` names ``ids`` and/or ``ids_crc32``."""
