@@ -24,17 +24,19 @@ def inverted_index(docs: DataFrame, doc: str, text: str) -> DataFrame:
 def phrase_matches(queries: DataFrame, query: str, phrase: str, docs: DataFrame, doc: str, text: str, generic: Sequence[str] = (), floor: int = 10, share: float = 0.0005) -> DataFrame:
     """query, doc: documents with the whole phrase between word ends, for phrases in at most max(floor, share x documents) of them.
 
-    Found from the index: the phrase's words with their offsets, counted per
-    (query, document, start), so no query is compared with every text.
+    A phrase is looked for only in documents that hold its rarest word.
     """
     asked = queries.select(F.col(query).alias("query"), normalize(F.col(phrase)).alias("p")).filter("p <> ''").filter(_usable(F.col("p"), generic) if generic else F.lit(True)).distinct()
-    words = asked.select("query", "p", F.size(F.split("p", " ")).alias("n"), F.posexplode(F.split("p", " ")).alias("j", "term"))
-    index = docs.select(F.col(doc).alias("doc"), F.posexplode(F.split(normalize(F.col(text)), " ")).alias("at", "term"))
-    met = index.join(words, "term").groupBy("query", "p", "doc", (F.col("at") - F.col("j")).alias("start")).agg(F.count_distinct("j").alias("held"), F.first("n").alias("n"))
-    found = met.filter("held = n").select("query", "p", "doc").distinct()
+    terms = asked.select("p", F.explode(F.split("p", " ")).alias("term")).distinct()
+    corpus = docs.select(F.col(doc).alias("doc"), normalize(F.col(text)).alias("n"))
+    index = corpus.select("doc", F.explode(F.array_distinct(F.split("n", " "))).alias("term"))
+    counts = index.join(terms.select("term").distinct(), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rarest = terms.join(counts, "term", "left").groupBy("p").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+    holds = F.contains(F.concat(F.lit(" "), "n", F.lit(" ")), F.concat(F.lit(" "), "p", F.lit(" ")))
+    found = index.join(rarest, "term").select("p", "doc").join(corpus, "doc").filter(holds).select("p", "doc").distinct()
     total = docs.agg(F.greatest(F.lit(floor), F.ceil(F.lit(share) * F.count(F.lit(1)))).alias("most"))
     frequent = found.groupBy("p").agg(F.count_distinct("doc").alias("df")).join(total).filter("df <= most").select("p")
-    return found.join(frequent, "p", "left_semi").select("query", "doc").distinct()
+    return found.join(frequent, "p", "left_semi").join(asked, "p").select("query", "doc").distinct()
 
 
 def word_matches(queries: DataFrame, query: str, name: str, docs: DataFrame, doc: str, text: str, generic: Sequence[str] = (), markers: Sequence[str] = ()) -> DataFrame:
