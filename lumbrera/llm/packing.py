@@ -167,7 +167,7 @@ class _Places:
         return self.sequence[at] + copy, self.offset[at] + place * length
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, capacity: int) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, capacity: int, slice_bytes: int) -> DataFrame:
     """doc_id and pieces with their ids (little-endian unsigned 32-bit), numbered by length within each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,7 +176,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, capac
         words, part = encoder(tokenizer, spaced), TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in slices(batches, "text", 4 * SLICE_BYTES):
+        for batch in slices(batches, "text", slice_bytes):
             out = [[] for _ in range(7)]
             for doc, ids in zip(batch.column(0).to_pylist(), words.encode_many(batch.column(1).to_pylist()), strict=True):
                 ids += end
@@ -201,9 +201,13 @@ def pack(
     spaced: bool = True,
     rounds: int = 80,
     keep: tuple[str, ...] = ("ids",),
+    slice_bytes: int = 2 * SLICE_BYTES,
 ) -> DataFrame:
-    """Each piece with ``sequence_id`` and ``offset``; ``keep`` names ``ids`` and/or ``ids_crc32``."""
-    pieces = Written(cut_pieces(docs, tokenizer or public_path("byte_bpe_50k.json"), spaced, end_id, capacity), "pieces").df
+    """Each piece with ``sequence_id`` and ``offset``; ``keep`` names ``ids`` and/or ``ids_crc32``.
+
+    ``slice_bytes`` of text are encoded at a time: more cost memory and save lookups.
+    """
+    pieces = Written(cut_pieces(docs, tokenizer or public_path("byte_bpe_50k.json"), spaced, end_id, capacity, slice_bytes), "pieces").df
     counts = pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = _Places(plan_packing(histogram, capacity, rounds))

@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_pack_config_lp(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
-    packed = packing.pack(table(spark, sf_dir, "documents"), keep=("ids_crc32",))
+    packed = packing.pack(table(spark, sf_dir, "documents"), keep=("ids_crc32",), slice_bytes=16 << 20)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
