@@ -33,6 +33,9 @@ from .components import connected_components
 
 SEED = 42
 
+#: Bytes of shingle hashes that one task holds of a table part's rows, and of its probes.
+BLOCK_BYTES = 16 << 20
+
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     """XXH64 of every ``width``-word shingle (ASCII lower case, words between ASCII white space), repeats included."""
@@ -187,21 +190,22 @@ def _mixed(hashes: np.ndarray) -> np.ndarray:
 
 
 def double_fingerprints(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """doc_id, fp, fp2 and band: the order of magnitude of the number of distinct shingles, to the base 1 / similarity."""
+    """doc_id, fp, fp2, size (the number of distinct shingles) and band: its order of magnitude to the base 1 / similarity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            known: dict[str | None, tuple[int, int, int]] = {}
+            known: dict[str | None, tuple[int, int, int, int]] = {}
             texts = batch.column(1).to_pylist()
             for text in texts:
                 if text not in known:
                     h = shingle_hashes(text, width)
-                    band = int(np.log(max(len(np.unique(h)), 1)) / -np.log(similarity) + 1e-9)
-                    known[text] = (fingerprint(h), fingerprint(_mixed(h)), band)
-            columns = [pa.array([known[t][i] for t in texts], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "fp", "fp2", "band"])
+                    size = len(np.unique(h))
+                    band = int(np.log(max(size, 1)) / -np.log(similarity) + 1e-9)
+                    known[text] = (fingerprint(h), fingerprint(_mixed(h)), size, band)
+            columns = [pa.array([known[t][i] for t in texts], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "fp", "fp2", "size", "band"])
 
-    return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, fp2 long, band int")
+    return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, fp2 long, size long, band int")
 
 
 def _spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -224,14 +228,13 @@ def _spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.nd
     return np.concatenate(used) if used else np.zeros(0, np.int64)
 
 
-def closest_forest(fp: np.ndarray, fp2: np.ndarray, held: np.ndarray, low: int, bits: int, radius: int, distance: int, most_pairs: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges (row, row, distance over both fingerprints) of a minimum spanning forest of the table rows and their probes."""
+def candidates(fp: np.ndarray, fp2: np.ndarray, held: np.ndarray, low: int, bits: int, radius: int, distance: int, most_pairs: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of (table row, probe, distance over both fingerprints) of all pairs within ``distance`` that share the segment's ball."""
     mask = np.uint64((1 << bits) - 1)
     value = (fp >> np.uint64(low)) & mask
     table, probes = np.nonzero(held)[0], np.nonzero(~held)[0]
     table = table[np.argsort(value[table], kind="stable")]
     ordered, asked = value[table], value[probes]
-    a = b = weight = np.zeros(0, np.int64)
     for flip in hamming_ball(bits, radius):
         begin = np.searchsorted(ordered, asked ^ flip, "left")
         n = np.searchsorted(ordered, asked ^ flip, "right") - begin
@@ -248,17 +251,24 @@ def closest_forest(fp: np.ndarray, fp2: np.ndarray, held: np.ndarray, low: int,
             apart = apart[near] + np.bitwise_count(fp2[row[near]] ^ fp2[probe[near]])
             close = apart <= distance
             if close.any():
-                a, b, weight = (np.concatenate(x) for x in ((a, row[near][close]), (b, probe[near][close]), (weight, apart[close])))
-                if len(a) > 4 * len(fp):
-                    keep = _spanning(len(fp), a, b, weight)
-                    a, b, weight = a[keep], b[keep], weight[keep]
+                yield row[near][close], probe[near][close], apart[close]
             at = to
+
+
+def closest_forest(fp: np.ndarray, fp2: np.ndarray, held: np.ndarray, low: int, bits: int, radius: int, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (row, row, distance over both fingerprints) of a minimum spanning forest of the table rows and their probes."""
+    a = b = weight = np.zeros(0, np.int64)
+    for found in candidates(fp, fp2, held, low, bits, radius, distance):
+        a, b, weight = (np.concatenate(x) for x in zip((a, b, weight), found, strict=True))
+        if len(a) > 4 * len(fp):
+            keep = _spanning(len(fp), a, b, weight)
+            a, b, weight = a[keep], b[keep], weight[keep]
     keep = _spanning(len(fp), a, b, weight)
     return a[keep], b[keep], weight[keep]
 
 
-def propose_links(nodes: DataFrame, distance: int, segments: int, radius: int, part_rows: int = 200_000, probe_rows: int = 60_000) -> DataFrame:
-    """Links (a, b) between nodes (fp, fp2, band, node) that are closest in both fingerprints, a forest per table part.
+def _dealt(nodes: DataFrame, columns: list[str], segments: int, radius: int, part_rows: int, probe_rows: int) -> tuple[DataFrame, int]:
+    """Rows (k, salt, held, columns) of every table part and its probes, and the number of leading bits in k.
 
     A part is a segment and a band of sizes, and in large bands also the
     segment's leading bits; probes go to the bands beside theirs, and to the
@@ -277,11 +287,17 @@ def propose_links(nodes: DataFrame, distance: int, segments: int, radius: int, p
     salted = {k: -(-sum(counts.get(k + d, 0) for d in (-1, 0, 1)) * len(flips) // (probe_rows << lead)) for k in counts}
     table = F.create_map(*[F.lit(x).cast("int") for kv in salted.items() for x in kv]) if salted else F.create_map(F.lit(0), F.lit(1))
     salts = F.coalesce(table[F.expr(f"CAST(k DIV {segments << lead} AS INT)")], F.lit(1))
-    columns = ["fp", "fp2", "node"]
     asked = nodes.select(*columns, F.explode(F.array(*[key(i, d, m) for i in range(segments) for d in (-1, 0, 1) for m in flips])).alias("k"))
     asked = asked.select("k", F.pmod(F.xxhash64("fp"), salts).cast("int").alias("salt"), F.lit(False).alias("held"), *columns)
     held = nodes.select(*columns, F.explode(F.array(*[key(i, 0, 0) for i in range(segments)])).alias("k"))
     held = held.select("k", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(True).alias("held"), *columns)
+    return asked.union(held), lead
+
+
+def propose_links(nodes: DataFrame, distance: int, segments: int, radius: int, part_rows: int = 200_000, probe_rows: int = 60_000) -> DataFrame:
+    """Links (a, b) between nodes (fp, fp2, band, node) that are closest in both fingerprints, a forest per table part."""
+    columns, bounds = ["fp", "fp2", "node"], segment_bounds(segments)
+    dealt, lead = _dealt(nodes, columns, segments, radius, part_rows, probe_rows)
 
     def link(of: tuple, rows: pa.Table) -> pa.Table:
         fp, fp2, node = (rows[c].to_numpy() for c in columns)
@@ -294,7 +310,117 @@ def propose_links(nodes: DataFrame, distance: int, segments: int, radius: int, p
         apart = x != y
         return pa.table({"a": np.maximum(x, y)[apart], "b": np.minimum(x, y)[apart]})
 
-    return asked.union(held).groupBy("k", "salt").applyInArrow(link, "a long, b long").distinct()
+    return dealt.groupBy("k", "salt").applyInArrow(link, "a long, b long").distinct()
+
+
+def untested(rows: pa.Table, segment: int, bounds: list[tuple[int, int]], radius: int, distance: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of the proposed pairs (row, row) of a table part whose ends no verified links join so far.
+
+    Sizes must allow the similarity. Over all parts each pair comes once: in
+    the first segment that has it, and as the probe of its larger node.
+    """
+    fp, fp2 = (rows[c].to_numpy().view(np.uint64) for c in ("fp", "fp2"))
+    node, size, joined = (rows[c].to_numpy() for c in ("node", "size", "joined"))
+    held = rows["held"].to_numpy(zero_copy_only=False)
+    if not held.any():
+        return
+    for a, b, _ in candidates(fp, fp2, held, *bounds[segment], radius, distance):
+        fits = (node[a] < node[b]) & (joined[a] != joined[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]))
+        for low, bits in bounds[:segment]:
+            fits &= np.bitwise_count(((fp[a] ^ fp[b]) >> np.uint64(low)) & np.uint64((1 << bits) - 1)) > radius
+        if fits.any():
+            yield a[fits], b[fits]
+
+
+class _Members:
+    """Sets of 32-bit numbers, one after another, and how many of one set's numbers are in each of others."""
+
+    def __init__(self, sets: pa.ChunkedArray):
+        parts = [np.frombuffer(s.as_buffer(), "<u4") for s in sets]
+        self.size = np.array([len(p) for p in parts], np.int64)
+        self._numbers = np.concatenate(parts) if parts else np.zeros(0, "<u4")
+        self._end = np.cumsum(self.size)
+        self._slot = np.full(1 << 16, -1, np.int64)
+
+    def _of(self, i: int) -> np.ndarray:
+        return self._numbers[self._end[i] - self.size[i] : self._end[i]]
+
+    def common(self, one: int, others: np.ndarray, most: int = 1 << 21) -> np.ndarray:
+        own, mask = self._of(one), np.uint32(len(self._slot) - 1)
+        self._slot[own & mask] = own
+        crowded = own[self._slot[own & mask] != own]  # another number has the slot
+        out, ends, at = np.zeros(len(others), np.int64), np.cumsum(self.size[others]), 0
+        while at < len(others):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            count = self.size[others[at:to]]
+            start = np.cumsum(count) - count
+            numbers = self._numbers[np.repeat(self._end[others[at:to]] - count - start, count) + np.arange(int(count.sum()))]
+            hit = self._slot[numbers & mask] == numbers
+            if len(crowded):
+                hit |= np.isin(numbers, crowded)
+            total = np.concatenate([[0], np.cumsum(hit)])
+            out[at:to] = total[start + count] - total[start]
+            at = to
+        self._slot[own & mask] = -1
+        return out
+
+
+def verified_links(rows: pa.Table, pairs: Iterator[tuple[np.ndarray, np.ndarray]], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row, row) with the similarity that connect the rows as all such pairs would; only pairs that earlier ones join are left out."""
+    sets, parent = _Members(rows["shingles"]), np.arange(rows.num_rows)
+    # A node's own probe and table row are one vertex, and so are nodes that verified links join already.
+    _, first, vertex = np.unique(rows["joined"].to_numpy(), return_index=True, return_inverse=True)
+    parent = np.minimum(parent, first[vertex])
+    used: list[tuple[int, int]] = []
+    for a, b in pairs:
+        order = np.argsort(b, kind="stable")
+        a, b = a[order], b[order]
+        edge = np.concatenate([[0], np.nonzero(np.diff(b))[0] + 1, [len(b)]])
+        for at, to in zip(edge[:-1], edge[1:], strict=True):
+            probe, mine = int(b[at]), a[at:to]
+            mine = mine[_roots(parent, mine) != _roots(parent, np.array([probe]))]
+            if not len(mine):
+                continue
+            both = sets.common(probe, mine)
+            mine = mine[both >= similarity * (sets.size[mine] + sets.size[probe] - both)]
+            # Of rows that are joined already, one link is enough.
+            mine = mine[np.unique(_roots(parent, mine), return_index=True)[1]]
+            _join_up(parent, mine, np.full(len(mine), probe))
+            used += [(int(x), probe) for x in mine]
+    ends = np.array(used, np.int64).reshape(-1, 2)
+    return ends[:, 0], ends[:, 1]
+
+
+def remaining_links(nodes: DataFrame, sets: DataFrame, distance: int, segments: int, radius: int, similarity: float, part_rows: int = 200_000, probe_rows: int = 60_000) -> DataFrame:
+    """Verified links (a, b) among all proposed pairs of nodes (fp, fp2, band, size, node, joined) with different ``joined``.
+
+    Nodes without such a pair stay behind before the shingles are brought in; a
+    part with many shingles is dealt in blocks of table rows by blocks of probes.
+    """
+    columns, bounds = ["fp", "fp2", "node", "size", "joined"], segment_bounds(segments)
+    dealt, lead = _dealt(nodes, columns, segments, radius, part_rows, probe_rows)
+    schema = "k long, salt int, held boolean, fp long, fp2 long, node long, size long, joined long"
+    segment = lambda k: (k >> lead) % segments
+
+    def meet(of: tuple, rows: pa.Table) -> pa.Table:
+        met = np.zeros(rows.num_rows, bool)
+        for a, b in untested(rows, segment(of[0].as_py()), bounds, radius, distance, similarity):
+            met[a] = met[b] = True
+        return rows.select(["k", "salt", "held", *columns]).filter(pa.array(met))
+
+    def verify(of: tuple, rows: pa.Table) -> pa.Table:
+        node = rows["node"].to_numpy()
+        a, b = verified_links(rows, untested(rows, segment(of[0].as_py()), bounds, radius, distance, similarity), similarity)
+        return pa.table({"a": node[a], "b": node[b]})
+
+    met = Written(dealt.groupBy("k", "salt").applyInArrow(meet, schema), "untested").df
+    blocks = lambda held: F.ceil(F.sum(F.when(F.col("held") == held, F.col("size") * 4 + 1).otherwise(0)) / BLOCK_BYTES).cast("int")
+    parts = met.groupBy("k", "salt").agg(blocks(True).alias("tables"), blocks(False).alias("probes"))
+    own = lambda n: F.array(F.pmod(F.xxhash64("node"), F.col(n)).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    placed = met.join(parts, ["k", "salt"]).withColumn("table", F.explode(F.when(F.col("held"), own("tables")).otherwise(every("tables"))))
+    placed = placed.withColumn("probe", F.explode(F.when(F.col("held"), every("probes")).otherwise(own("probes")))).drop("tables", "probes")
+    return placed.join(sets, "node").groupBy("k", "salt", "table", "probe").applyInArrow(verify, "a long, b long")
 
 
 def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -306,12 +432,16 @@ def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, shingles binary")
 
 
-def similar_enough(links: DataFrame, docs: DataFrame, width: int, similarity: float, broadcast_rows: int) -> DataFrame:
-    """The links whose documents' distinct shingles have a Jaccard similarity of ``similarity`` or more."""
+def linked_sets(links: DataFrame, docs: DataFrame, width: int, broadcast_rows: int) -> DataFrame:
+    """node and shingles (sorted 32-bit hashes of the distinct ones) of the links' ends."""
     ends = Written(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "link-ends").df
     few = ends.count() <= broadcast_rows
     wanted = only(docs, "doc_id", "text").join(F.broadcast(ends) if few else ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = Written(_shingle_sets(wanted, width), "shingle-sets").df
+    return Written(_shingle_sets(wanted, width), "shingle-sets").df
+
+
+def similar_enough(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links whose documents' distinct shingles have a Jaccard similarity of ``similarity`` or more."""
     pairs = links.join(sets.withColumnsRenamed({"node": "a", "shingles": "s"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "t"}), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,14 +462,25 @@ def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     Equal texts, and texts equal in both fingerprints, are one node. Links are
     proposed by multi-index hashing (every pair with at most
     segments * (radius + 1) - 1 different bits in the first fingerprint, and most
-    pairs beyond), as a minimum spanning forest by the distance over both
-    fingerprints, and each is held against the shingles themselves.
+    pairs beyond) and held against the shingles themselves: first a minimum
+    spanning forest by the distance over both fingerprints, and where a link of
+    it fails, all other proposals that verified links don't join already.
     """
     fps = Written(double_fingerprints(docs, width, similarity).filter(F.col("doc_id").isNotNull()), "double-fingerprints").df
-    nodes = Written(fps.groupBy("fp", "fp2").agg(F.min("band").alias("band"), F.min("doc_id").alias("node")), "double-nodes").df
+    nodes = Written(fps.groupBy("fp", "fp2").agg(F.min("band").alias("band"), F.min("size").alias("size"), F.min("doc_id").alias("node")), "double-nodes").df
     links = Written(propose_links(nodes, distance, segments, radius), "proposed-links").df
-    checked = Written(similar_enough(links, docs, width, similarity, broadcast_rows), "checked-links").df
-    named = nodes.join(connected_components(checked), "node", "left").select("fp", "fp2", F.coalesce("component", "node").alias("component_id"))
+    sets = linked_sets(links, docs, width, broadcast_rows)
+    checked = Written(similar_enough(links, sets, similarity), "checked-links").df
+    component = connected_components(checked)
+    failed = links.join(checked, ["a", "b"], "left_anti")
+    if failed.limit(1).count():
+        proposed = connected_components(links).withColumnRenamed("component", "proposed")
+        unsettled = failed.select(F.col("a").alias("node")).join(proposed, "node").select("proposed").distinct()
+        still = nodes.join(proposed.join(unsettled, "proposed", "left_semi"), "node").join(component, "node", "left")
+        still = Written(still.select("fp", "fp2", "band", "size", "node", F.coalesce("component", "node").alias("joined")), "unsettled-nodes").df
+        more = Written(remaining_links(still, sets, distance, segments, radius, similarity), "remaining-links").df
+        component = connected_components(checked.union(more)) if more.limit(1).count() else component
+    named = nodes.join(component, "node", "left").select("fp", "fp2", F.coalesce("component", "node").alias("component_id"))
     return fps.join(named, ["fp", "fp2"]).select("doc_id", "component_id")
 
 

@@ -15,6 +15,8 @@ from lumbrera.llm import decontaminate, simhash, suffixes
 from lumbrera.llm.components import connected_components
 from lumbrera.llm.suffixes import two_stage_sort
 
+from .conftest import prose
+
 
 def ascii_lower(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
@@ -98,6 +100,37 @@ def test_one_of_each_near_copy_stays(docs, texts):
     assert sorted(kept) == sorted(set(texts) - {1, 2, 6, 7})  # 0, 1 and 2 have no words; 5, 6 and 7 are near copies
 
 
+def edited_copies(n, seed=4):
+    """Copies of a text of 200 words with one to eight words changed: similarities on both sides of 0.8."""
+    rng = np.random.default_rng(seed)
+    base = prose(seed, 200, 4000).split()
+    out = []
+    for i in range(n):
+        words = list(base)
+        for k, at in enumerate(rng.choice(200, int(rng.integers(1, 9)), replace=False)):
+            words[at] = f"changed{i}x{k}"
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("block_bytes", [16 << 20, 4000])
+def test_no_proposed_link_is_lost(spark, monkeypatch, block_bytes):
+    monkeypatch.setattr(simhash, "BLOCK_BYTES", block_bytes, raising=False)
+    written = edited_copies(150)
+    docs = spark.createDataFrame(list(enumerate(written)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in simhash.double_fingerprints(docs, 5, 0.8).collect()}
+    shingles = [set(simhash.shingle_hashes(t, 5).tolist()) for t in written]
+
+    def linked(i, j):
+        x, y = (rows[i][c] ^ rows[j][c] for c in ("fp", "fp2"))
+        x, y = x & (1 << 64) - 1, y & (1 << 64) - 1
+        proposed = x.bit_count() + y.bit_count() <= 32 and any((x >> at & 0xFFFF).bit_count() <= 2 for at in (0, 16, 32, 48))
+        return proposed and len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j])
+
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_components(docs).collect()}
+    assert [found[i] for i in range(len(written))] == brute_components(len(written), linked)
+
+
 def test_simhash_of_nothing(empty_docs):
     assert simhash.near_duplicate_components(empty_docs).count() == 0
     assert simhash.keep_one_of_each(empty_docs).count() == 0
