@@ -189,23 +189,27 @@ def _mixed(hashes: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _set_hash(distinct: np.ndarray) -> int:
+    """Signed 64-bit hash of sorted distinct shingle hashes."""
+    return int(np.array([xxhash.xxh3_64_intdigest(distinct.tobytes(), SEED)], np.uint64).view(np.int64)[0])
+
+
 def double_fingerprints(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """doc_id, fp, fp2, size (the number of distinct shingles) and band: its order of magnitude to the base 1 / similarity."""
+    """doc_id, and of the text's distinct shingles two fingerprints (fp, fp2), their number (size), its order of magnitude to the base 1 / similarity (band) and a hash of them all (node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            known: dict[str | None, tuple[int, int, int, int]] = {}
+            known: dict[str | None, tuple[int, int, int, int, int]] = {}
             texts = batch.column(1).to_pylist()
             for text in texts:
                 if text not in known:
-                    h = shingle_hashes(text, width)
-                    size = len(np.unique(h))
-                    band = int(np.log(max(size, 1)) / -np.log(similarity) + 1e-9)
-                    known[text] = (fingerprint(h), fingerprint(_mixed(h)), size, band)
-            columns = [pa.array([known[t][i] for t in texts], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "fp", "fp2", "size", "band"])
+                    h = np.unique(shingle_hashes(text, width))
+                    band = int(np.log(max(len(h), 1)) / -np.log(similarity) + 1e-9)
+                    known[text] = (fingerprint(h), fingerprint(_mixed(h)), len(h), band, _set_hash(h))
+            columns = [pa.array([known[t][i] for t in texts], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "fp", "fp2", "size", "band", "node"])
 
-    return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, fp2 long, size long, band int")
+    return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, fp2 long, size long, band int, node long")
 
 
 def _spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -426,18 +430,20 @@ def remaining_links(nodes: DataFrame, sets: DataFrame, distance: int, segments:
 def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            sets = [np.unique(shingle_hashes(t, width) >> np.uint64(32)).astype("<u4").tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
+            distinct = [np.unique(shingle_hashes(t, width)) for t in batch.column(0).to_pylist()]
+            sets = [np.unique(h >> np.uint64(32)).astype("<u4").tobytes() for h in distinct]
+            yield pa.RecordBatch.from_arrays([pa.array([_set_hash(h) for h in distinct], pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "node long, shingles binary")
+    return docs.select("text").mapInArrow(run, "node long, shingles binary")
 
 
-def linked_sets(links: DataFrame, docs: DataFrame, width: int, broadcast_rows: int) -> DataFrame:
-    """node and shingles (sorted 32-bit hashes of the distinct ones) of the links' ends."""
-    ends = Written(links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "link-ends").df
+def linked_sets(links: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, broadcast_rows: int) -> DataFrame:
+    """node and shingles (sorted 32-bit hashes of the distinct ones) of the links' ends; nodes: node and the doc_id of one text of it."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = Written(nodes.join(ends, "node", "left_semi").select("doc_id").distinct(), "link-ends").df
     few = ends.count() <= broadcast_rows
-    wanted = only(docs, "doc_id", "text").join(F.broadcast(ends) if few else ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return Written(_shingle_sets(wanted, width), "shingle-sets").df
+    wanted = only(docs, "doc_id", "text").join(F.broadcast(ends) if few else ends, "doc_id", "left_semi")
+    return Written(_shingle_sets(wanted, width).dropDuplicates(["node"]), "shingle-sets").df
 
 
 def similar_enough(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -459,7 +465,7 @@ def similar_enough(links: DataFrame, sets: DataFrame, similarity: float) -> Data
 def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = 32, segments: int = 4, radius: int = 2, broadcast_rows: int = 400_000) -> DataFrame:
     """doc_id, component_id: groups of documents linked by a Jaccard similarity of ``width``-word shingles of ``similarity`` or more.
 
-    Equal texts, and texts equal in both fingerprints, are one node. Links are
+    Texts with the same distinct shingles are one node. Links are
     proposed by multi-index hashing (every pair with at most
     segments * (radius + 1) - 1 different bits in the first fingerprint, and most
     pairs beyond) and held against the shingles themselves: first a minimum
@@ -467,9 +473,9 @@ def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     it fails, all other proposals that verified links don't join already.
     """
     fps = Written(double_fingerprints(docs, width, similarity).filter(F.col("doc_id").isNotNull()), "double-fingerprints").df
-    nodes = Written(fps.groupBy("fp", "fp2").agg(F.min("band").alias("band"), F.min("size").alias("size"), F.min("doc_id").alias("node")), "double-nodes").df
+    nodes = Written(fps.groupBy("node", "fp", "fp2", "size", "band").agg(F.min("doc_id").alias("doc_id")), "double-nodes").df
     links = Written(propose_links(nodes, distance, segments, radius), "proposed-links").df
-    sets = linked_sets(links, docs, width, broadcast_rows)
+    sets = linked_sets(links, nodes, docs, width, broadcast_rows)
     checked = Written(similar_enough(links, sets, similarity), "checked-links").df
     component = connected_components(checked)
     failed = links.join(checked, ["a", "b"], "left_anti")
@@ -480,8 +486,10 @@ def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8,
         still = Written(still.select("fp", "fp2", "band", "size", "node", F.coalesce("component", "node").alias("joined")), "unsettled-nodes").df
         more = Written(remaining_links(still, sets, distance, segments, radius, similarity), "remaining-links").df
         component = connected_components(checked.union(more)) if more.limit(1).count() else component
-    named = nodes.join(component, "node", "left").select("fp", "fp2", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(named, ["fp", "fp2"]).select("doc_id", "component_id")
+    named = nodes.join(component, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = Written(named.join(least, "component").select("node", "component_id"), "named-nodes").df
+    return fps.join(named, "node").select("doc_id", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, broadcast_rows: int = 400_000, **options: float) -> DataFrame:

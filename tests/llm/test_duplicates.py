@@ -131,6 +131,15 @@ def test_no_proposed_link_is_lost(spark, monkeypatch, block_bytes):
     assert [found[i] for i in range(len(written))] == brute_components(len(written), linked)
 
 
+def test_near_copies_are_told_by_distinct_shingles(spark):
+    often = "same " * 400
+    line = "one line that stands again and again in this text\n"
+    body = prose(70, 100, 4000)
+    rows = [(1, often + prose(71, 60, 4000)), (2, often + prose(72, 60, 4000)), (3, body + "\n" + line * 2), (4, body + "\n" + line * 90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one_of_each(docs, width=5, similarity=0.8).collect()) == [1, 2, 3]
+
+
 def test_simhash_of_nothing(empty_docs):
     assert simhash.near_duplicate_components(empty_docs).count() == 0
     assert simhash.keep_one_of_each(empty_docs).count() == 0
