@@ -195,21 +195,22 @@ def _set_hash(distinct: np.ndarray) -> int:
 
 
 def double_fingerprints(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """doc_id, and of the text's distinct shingles two fingerprints (fp, fp2), their number (size), its order of magnitude to the base 1 / similarity (band) and a hash of them all (node)."""
+    """doc_id, text_hash, and of the text's distinct shingles two fingerprints (fp, fp2), their number (size), its order of magnitude to the base 1 / similarity (band) and a hash of them all (node)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             known: dict[str | None, tuple[int, int, int, int, int]] = {}
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             for text in texts:
                 if text not in known:
                     h = np.unique(shingle_hashes(text, width))
                     band = int(np.log(max(len(h), 1)) / -np.log(similarity) + 1e-9)
                     known[text] = (fingerprint(h), fingerprint(_mixed(h)), len(h), band, _set_hash(h))
             columns = [pa.array([known[t][i] for t in texts], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "fp", "fp2", "size", "band", "node"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "text_hash", "fp", "fp2", "size", "band", "node"])
 
-    return only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, fp2 long, size long, band int, node long")
+    asked = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    return asked.mapInArrow(run, "doc_id long, text_hash long, fp long, fp2 long, size long, band int, node long")
 
 
 def _spanning(n: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -437,12 +438,17 @@ def _shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, shingles binary")
 
 
+def _same_row(docs: DataFrame) -> Column:
+    """Rows are told apart by doc_id and text: those of docs against (__id, __hash)."""
+    return (docs["doc_id"].cast("long") == F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash"))
+
+
 def linked_sets(links: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, broadcast_rows: int) -> DataFrame:
-    """node and shingles (sorted 32-bit hashes of the distinct ones) of the links' ends; nodes: node and the doc_id of one text of it."""
+    """node and shingles (sorted 32-bit hashes of the distinct ones) of the links' ends; nodes: node and doc_id and text_hash of one text of it."""
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ends = Written(nodes.join(ends, "node", "left_semi").select("doc_id").distinct(), "link-ends").df
+    ends = Written(nodes.join(ends, "node", "left_semi").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), "link-ends").df
     few = ends.count() <= broadcast_rows
-    wanted = only(docs, "doc_id", "text").join(F.broadcast(ends) if few else ends, "doc_id", "left_semi")
+    wanted = docs.join(F.broadcast(ends) if few else ends, _same_row(docs), "left_semi")
     return Written(_shingle_sets(wanted, width).dropDuplicates(["node"]), "shingle-sets").df
 
 
@@ -463,8 +469,10 @@ def similar_enough(links: DataFrame, sets: DataFrame, similarity: float) -> Data
 
 
 def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, distance: int = 32, segments: int = 4, radius: int = 2, broadcast_rows: int = 400_000) -> DataFrame:
-    """doc_id, component_id: groups of documents linked by a Jaccard similarity of ``width``-word shingles of ``similarity`` or more.
+    """doc_id, text_hash, component_id, component_hash: groups of documents linked by a Jaccard similarity of ``width``-word shingles of ``similarity`` or more.
 
+    A group is named by its row with the least doc_id, and of rows with that
+    doc_id the one with the least text_hash; rows with a null doc_id are left out.
     Texts with the same distinct shingles are one node. Links are
     proposed by multi-index hashing (every pair with at most
     segments * (radius + 1) - 1 different bits in the first fingerprint, and most
@@ -473,7 +481,7 @@ def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     it fails, all other proposals that verified links don't join already.
     """
     fps = Written(double_fingerprints(docs, width, similarity).filter(F.col("doc_id").isNotNull()), "double-fingerprints").df
-    nodes = Written(fps.groupBy("node", "fp", "fp2", "size", "band").agg(F.min("doc_id").alias("doc_id")), "double-nodes").df
+    nodes = Written(fps.groupBy("node", "fp", "fp2", "size", "band").agg(F.min(F.struct("doc_id", "text_hash")).alias("row")), "double-nodes").df.select("node", "fp", "fp2", "size", "band", "row.*")
     links = Written(propose_links(nodes, distance, segments, radius), "proposed-links").df
     sets = linked_sets(links, nodes, docs, width, broadcast_rows)
     checked = Written(similar_enough(links, sets, similarity), "checked-links").df
@@ -486,16 +494,17 @@ def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8,
         still = Written(still.select("fp", "fp2", "band", "size", "node", F.coalesce("component", "node").alias("joined")), "unsettled-nodes").df
         more = Written(remaining_links(still, sets, distance, segments, radius, similarity), "remaining-links").df
         component = connected_components(checked.union(more)) if more.limit(1).count() else component
-    named = nodes.join(component, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = Written(named.join(least, "component").select("node", "component_id"), "named-nodes").df
-    return fps.join(named, "node").select("doc_id", "component_id")
+    named = nodes.join(component, "node", "left").select("node", F.struct("doc_id", "text_hash").alias("row"), F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("row").alias("least"))
+    named = Written(named.join(least, "component").select("node", F.col("least.doc_id").alias("component_id"), F.col("least.text_hash").alias("component_hash")), "named-nodes").df
+    return fps.join(named, "node").select("doc_id", "text_hash", "component_id", "component_hash")
 
 
 def keep_one_of_each(docs: DataFrame, broadcast_rows: int = 400_000, **options: float) -> DataFrame:
-    """docs without the documents whose component is named by another; rows with a null doc_id stay."""
+    """docs without the rows whose component is named by another, and of rows equal in doc_id and text one; rows with a null doc_id stay."""
     found = Written(similar_components(docs, **options), "components").df
-    gone = Written(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone").df
-    kept = docs.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, "doc_id", "left_anti").select(*docs.columns)
-    again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if again else kept
+    others = found.filter("doc_id <> component_id OR text_hash <> component_hash")
+    gone = Written(others.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "gone").df
+    kept = docs.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, _same_row(docs), "left_anti")
+    again = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
+    return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).union(kept.filter("doc_id IS NULL")) if again else kept

@@ -140,6 +140,14 @@ def test_near_copies_are_told_by_distinct_shingles(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one_of_each(docs, width=5, similarity=0.8).collect()) == [1, 2, 3]
 
 
+def test_rows_are_told_apart_by_doc_id_and_text(spark):
+    a, b, c, d = (prose(i, 80, 4000) for i in (80, 81, 82, 83))
+    rows = [(None, a), (None, b), (1, c), (1, c), (2, c), (2, d)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in simhash.keep_one_of_each(docs, width=5, similarity=0.8).collect()]
+    assert sorted(kept, key=str) == sorted([(None, a), (None, b), (1, c), (2, d)], key=str)
+
+
 def test_simhash_of_nothing(empty_docs):
     assert simhash.near_duplicate_components(empty_docs).count() == 0
     assert simhash.keep_one_of_each(empty_docs).count() == 0
