@@ -8,9 +8,11 @@ solved for one language against the rest on them, and since the kernel is linear
 in the presence vector, scoring a batch is a product of its presence matrix with
 the landmarks' n-grams and one with the coefficients.
 
-Learned from about ``train_docs`` labelled documents per language (those with
-the least hash of their id, in expectation that many) and ``landmarks`` of them:
-a bounded sample, the same whatever the order of rows.
+Every language is learned, from about ``train_docs`` labelled documents of it
+(those with the least hash of their id, in expectation that many; fewer of each
+where there are over SAMPLE_DOCS / ``train_docs`` languages), with ``landmarks``
+of them or one per language: a bounded sample, the same whatever the order of
+rows. Over MOST_LANGUAGES labels are an error.
 
 Defined results: ``und`` with score 0 for null text or text without a letter,
 and for all texts if there is nothing to learn from; labels that are null are
@@ -38,6 +40,10 @@ _FOLD[ord("A") : ord("Z") + 1] = np.arange(1, 27)
 _FOLD[0x80:] = 27 + np.arange(128) % 100  # bytes beyond ASCII, apart as far as the alphabet has room
 _BASE = 128
 
+#: Documents of all languages in the sample, as far as each language has LEAST_DOCS of its own.
+SAMPLE_DOCS, LEAST_DOCS = 20_000, 20
+MOST_LANGUAGES = 1000
+
 
 def gram_codes(text: bytes) -> np.ndarray:
     """Code of every n-gram occurrence; a run of anything but letters is one blank, as are both ends."""
@@ -87,7 +93,7 @@ def fit(sets: list[np.ndarray], labels: list[str], landmarks: int = 200, ridge:
     for i, lang in enumerate(labels):
         ranked.append((turn[lang], i))
         turn[lang] += 1
-    chosen = [i for _, i in sorted(ranked)[:landmarks]]
+    chosen = [i for _, i in sorted(ranked)[: max(landmarks, len(languages))]]
     grams = np.unique(np.concatenate([sets[i] for i in chosen]))
 
     def rows(which: list[int]) -> np.ndarray:
@@ -144,17 +150,15 @@ class Scorer:
         return names, scores
 
 
-def labelled_sample(docs: DataFrame, train_docs: int, least_share: float = 0.001) -> tuple[list[np.ndarray], list[str]]:
-    """Distinct n-gram codes and labels of about ``train_docs`` documents per language, chosen by the hash of their ids.
-
-    A language is learned if it has a thousandth of the labelled documents or more.
-    """
+def labelled_sample(docs: DataFrame, train_docs: int) -> tuple[list[np.ndarray], list[str]]:
+    """Distinct n-gram codes and labels of about ``train_docs`` documents per language, chosen by the hash of their ids."""
     usable = only(docs, "doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    by_language = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    total = by_language.agg(F.sum("n")).first()[0] or 0
-    counts = {r["lang"]: r["n"] for r in by_language.filter(F.col("n") >= least_share * total).collect()}
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if not counts:
         return [], []
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} labels in lang")
+    train_docs = min(train_docs, max(LEAST_DOCS, SAMPLE_DOCS // len(counts)))
     parts = 1 << 24
     limits = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, train_docs / n) * parts))])
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(parts))

@@ -3,8 +3,8 @@
 Two histograms of a document, its character classes and its common words, are
 compared with references by Jensen-Shannon distance. A reference is the summed
 histogram of all documents of a language (column ``lang``) that pass the base
-rules, for languages with a thousandth of them or more; a document is held against the closest reference of each kind, whatever
-its own label. Short texts differ from any reference by chance, so texts under
+rules; over MOST_LANGUAGES languages are an error. A document is held against the
+closest reference of each kind, whatever its own label. Short texts differ from any reference by chance, so texts under
 ``least_words`` are not judged by distance, and the limits have an allowance
 that falls with the square root of the number of words.
 
@@ -30,6 +30,9 @@ from .common import Written, only, slices
 _SPACE = " \t\n\r\v\f"
 _SYMBOLS = "#*$%&|<>"
 
+#: References are collected, one row per language.
+MOST_LANGUAGES = 1000
+
 # Common words of the languages in the corpus.
 COMMON_WORDS = (
     "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which"
@@ -149,12 +152,14 @@ def measure(docs: DataFrame) -> DataFrame:
     return asked.mapInArrow(run, schema)
 
 
-def references(measured: DataFrame, least_share: float = 0.001) -> dict[str, np.ndarray]:
-    """The summed histogram of each language with a thousandth of the usable documents or more; so at most a thousand rows are collected."""
+def references(measured: DataFrame) -> dict[str, np.ndarray]:
+    """The summed histogram of each language."""
     usable = measured.filter(F.col("lang").isNotNull() & ~F.col("base_failed"))
-    sums = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("histogram")[i].cast("long")).alias(f"h{i}") for i in range(_BINS)])
-    rows = sums.filter(F.col("n") >= least_share * usable.count()).collect()
-    return {r["lang"]: np.array(r[2:], np.float64) for r in rows}
+    sums = usable.groupBy("lang").agg(*[F.sum(F.col("histogram")[i].cast("long")).alias(f"h{i}") for i in range(_BINS)])
+    rows = sums.limit(MOST_LANGUAGES + 1).collect()
+    if len(rows) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} labels in lang")
+    return {r["lang"]: np.array(r[1:], np.float64) for r in rows}
 
 
 def judge(docs: DataFrame, class_limit: float = 0.24, word_limit: float = 0.27, allowance: float = 0.75, least_words: int = 50) -> DataFrame:

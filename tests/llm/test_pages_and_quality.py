@@ -10,6 +10,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumbrera.llm import cotrain, langid, qualityrules, urlfilter, warc
 
@@ -128,6 +129,17 @@ def test_language(spoken):
     assert got.score.between(0.5, 1).all()
 
 
+def test_rare_languages_are_learned(spark):
+    rng = np.random.default_rng(5)
+    said = lambda lang, n: " ".join(rng.choice(lang.split(), n))
+    rows = [(i, said(WORDS["en"], 60), "en") for i in range(2000)] + [(3000, said(WORDS["de"], 60), "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(1, said(WORDS["de"], 60)), (2, said(WORDS["en"], 60))], "doc_id long, text string")
+    found = langid.identify(asked, docs, train_docs=60, landmarks=20).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in found} == {1: "de", 2: "en"}
+    assert set(qualityrules.references(qualityrules.measure(docs.withColumn("text", F.lit(prose(1, 300)))))) == {"en", "de"}
+
+
 def test_language_without_labels(spoken, empty_docs):
     assert {r["lang_pred"] for r in langid.identify(spoken, spoken.filter("false")).collect()} == {"und"}
     assert langid.identify(empty_docs, spoken).count() == 0
