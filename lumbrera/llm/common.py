@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,8 +12,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_SCRATCH = "/tmp/checkpoints/lumbrera"
-
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Bytes of text that one step of a Python operator holds as numpy arrays.
@@ -19,8 +19,45 @@ SLICE_BYTES = 4 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else a local one (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_SCRATCH).rstrip("/") + "/llm"
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, one of a local session's own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = f"{tempfile.gettempdir()}/lumbrera-{os.getpid()}"
+    return shared.rstrip("/") + "/llm"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for scope in _scopes:
+        scope.append((spark, path))
+    return path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextlib.contextmanager
+def scratch_scope(*keep: str) -> Iterator[None]:
+    """What is written under the scratch folder within goes at the end, but for tables whose names begin with one of ``keep``.
+
+    For steps whose results are written or collected before the end.
+    """
+    _scopes.append(held := [])
+    try:
+        yield
+    finally:
+        _scopes.remove(held)
+        for spark, path in held:
+            if not path.rpartition("/")[2].startswith(tuple(f"{k}-" for k in keep)):
+                delete_path(spark, path)
 
 
 class Written:
@@ -28,7 +65,7 @@ class Written:
 
     def __init__(self, df: DataFrame, name: str, compression: str = "zstd"):
         self.spark = df.sparkSession
-        self.path = f"{scratch_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        self.path = scratch_path(self.spark, name)
         self.schema = df.schema
         # The table replaces the plan, so the plan's shuffle files can go as soon as it is written.
         before = self.spark.conf.get(_CLEANUP, "false")
@@ -43,9 +80,7 @@ class Written:
         return self.spark.read.schema(self.schema).parquet(self.path)
 
     def drop(self) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete_path(self.spark, self.path)
 
 
 def only(df: DataFrame, *columns: str) -> DataFrame:

@@ -6,8 +6,9 @@ nonterminals, round after round; the payload keeps the rules, the expansion
 length of every nonterminal, the reduced sequence and, per document, its id,
 length and place in the sequence. A document, or any range of its ids, is
 decoded from its own part of the sequence: expansion lengths tell which symbols
-to expand. The shards are rows of a written table (task commits make them whole
-after lost executors); ``read_documents`` decodes them.
+to expand. A task's shards stand one after another in a file, which an index
+table describes (part, shard, start of the shard in its part, n_tokens, file,
+offset, length); ``read_documents`` reads them back from there.
 
 Payload (little endian): magic ``RPG1``; counts of documents, rules, symbols and
 rounds (4 x u4); base (u4); rules per round (u4 each); doc ids (i8, null as the
@@ -24,27 +25,31 @@ never begin with the end id, so no rule crosses a document.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Written, only, slices
+from .common import SLICE_BYTES, Written, only, scratch_path, slices
+from .files import Attempt, listing, publish, read_ranges
 from .tokens import encoder, public_path
 
-SHARDS = "part int, shard int, start long, n_tokens long, payload binary"
+INDEX = "part int, shard int, start long, n_tokens long, attempt string, name string, offset long, length long"
 _MAGIC, _NULL = b"RPG1", np.iinfo(np.int64).min
-_HASH, _SLOT_BITS = np.uint64(0x9E3779B97F4A7C15), 18
+_HASH, _SLOT_BITS = 0x9E3779B97F4A7C15, 19
 
 
-def _frequent_pairs(seq: np.ndarray, end_id: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _frequent_pairs(seq: np.ndarray, end_id: int, least: int, most: int, turn: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of the most frequent pairs, their ranks (0: most frequent), and the pairs by rank.
 
-    Pairs are counted in hashed slots; of pairs that share a slot one stands for it in this round.
+    Pairs are counted in hashed slots, by another hash in every round; of pairs
+    that share a slot one stands for it in this round.
     """
     keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-    slot = ((keys * _HASH) >> np.uint64(64 - _SLOT_BITS)).astype(np.int32)
+    odd = np.uint64(_HASH * (2 * turn + 1) & (1 << 64) - 1)
+    slot = ((keys * odd) >> np.uint64(64 - _SLOT_BITS)).astype(np.int32)
     at = np.nonzero((np.bincount(slot, minlength=1 << _SLOT_BITS) >= least)[slot] & (seq[:-1] != end_id))[0]
     keys, slot = keys[at], slot[at]
     owner = np.zeros(1 << _SLOT_BITS, np.uint64)
@@ -60,13 +65,17 @@ def _frequent_pairs(seq: np.ndarray, end_id: int, least: int, most: int) -> tupl
     return at[rank_at >= 0], rank_at[rank_at >= 0], owner[frequent]
 
 
-def compress(ids: np.ndarray, base: int, end_id: int, rounds: int = 5, least: int = 12, most: int = 4096) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The reduced sequence and per round the pairs (n x 2) that nonterminals base, base + 1, ... stand for."""
+def compress(ids: np.ndarray, base: int, end_id: int, rounds: int = 30, least: int = 12, most: int = 4096, gain: float = 0.005) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The reduced sequence and per round the pairs (n x 2) that nonterminals base, base + 1, ... stand for.
+
+    Rounds go on until no pair occurs ``least`` times or one shortens the sequence by less than ``gain``.
+    """
     seq, rules, following = ids.astype(np.uint32), [], base
-    for _ in range(rounds):
-        if len(seq) < 2:
+    for turn in range(rounds):
+        before = len(seq)
+        if before < 2:
             break
-        at, rank, frequent = _frequent_pairs(seq, end_id, least, most)
+        at, rank, frequent = _frequent_pairs(seq, end_id, least, most, turn)
         if not len(at):
             break
         # Of overlapping pairs the more frequent one goes; of equal ones the first.
@@ -84,6 +93,8 @@ def compress(ids: np.ndarray, base: int, end_id: int, rounds: int = 5, least: in
         keep[at + 1] = False
         seq = seq[keep]
         following += len(pairs)
+        if before - len(seq) < gain * before:
+            break
     return seq, rules
 
 
@@ -118,7 +129,7 @@ def _expansion_lengths(rules: list[np.ndarray], base: int) -> np.ndarray:
     return lengths
 
 
-def encode_shard(doc_ids: list, ids: list[bytes], base: int, end_id: int, rounds: int = 5) -> bytes:
+def encode_shard(doc_ids: list, ids: list[bytes], base: int, end_id: int, rounds: int = 30) -> bytes:
     whole = np.frombuffer(b"".join(ids), "<u4")
     seq, rules = compress(whole, base, end_id, rounds)
     expansion = _expansion_lengths(rules, base)
@@ -171,30 +182,45 @@ class Shard:
         return expand(seq[a:b], self.rules, self.base)[start - before : stop - before].astype("<u4")
 
 
+class Shards(NamedTuple):
+    """A folder of shard files (``<part>.rpg``) and the index of their shards."""
+
+    folder: str
+    index: Written
+
+    @property
+    def df(self) -> DataFrame:
+        """part, shard, start (of the shard in its part), n_tokens, name (of the file), offset, length."""
+        return self.index.df.drop("attempt")
+
+
 def write_shards(
     docs: DataFrame,
+    folder: str | None = None,
     tokenizer: str | None = None,
     end_id: int = 2,
     spaced: bool = False,
     base: int = 49408,
     shard_tokens: int = 1 << 19,
-    rounds: int = 5,
-) -> Written:
-    """The written table of shards: part, shard, start (of the shard in its part), n_tokens, payload."""
+    rounds: int = 30,
+) -> Shards:
+    """Shard files in ``folder`` (by default one of its own in the shared folder) and their index."""
     path = tokenizer or public_path("word_bpe_49k.json")
+    folder = folder or scratch_path(docs.sparkSession, "shards")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         words, part, end = encoder(path, spaced), TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
-        doc_ids, ids, held, shard, start = [], [], 0, 0, 0
+        doc_ids, ids, held, start, rows, out = [], [], 0, 0, [], None
 
-        def flush() -> pa.RecordBatch:
-            nonlocal doc_ids, ids, held, shard, start
-            row = [[part], [shard], [start], [held], [encode_shard(doc_ids, ids, base, end_id, rounds)]]
-            doc_ids, ids, start, shard, held = [], [], start + held, shard + 1, 0
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], names=["part", "shard", "start", "n_tokens", "payload"])
+        def flush() -> None:
+            nonlocal doc_ids, ids, held, start, out
+            out = out or Attempt(folder)
+            payload = encode_shard(doc_ids, ids, base, end_id, rounds)
+            rows.append((part, len(rows), start, held, out.name, f"{part:06d}.rpg", out.at, len(payload)))
+            out.write(payload)
+            doc_ids, ids, start, held = [], [], start + held, 0
 
         for batch in slices(batches, "text", 4 * SLICE_BYTES):
             for doc, own in zip(batch.column(0).to_pylist(), words.encode_many(batch.column(1).to_pylist()), strict=True):
@@ -202,30 +228,40 @@ def write_shards(
                 ids.append(own + end)
                 held += len(ids[-1]) // 4
                 if held >= shard_tokens:
-                    yield flush()
+                    flush()
         if ids:
-            yield flush()
+            flush()
+        if out:
+            out.close()
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+            names = [c.split()[0] for c in INDEX.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     ordered = only(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return Written(ordered.mapInArrow(run, SHARDS), "token-shards", "none")
+    index = Written(ordered.mapInArrow(run, INDEX), "shard-index")
+    publish(index.df, folder)
+    return Shards(folder, index)
 
 
-def read_documents(shards: Written) -> DataFrame:
+def read_documents(shards: Shards) -> DataFrame:
     """doc_id, start (ids of all documents before), n_tokens and ids of every document of the files."""
-    df = shards.df
+    df, folder = shards.df, shards.folder
     parts = df.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                shard = Shard(payload)
-                ends = np.cumsum(shard.lengths.astype(np.int64))
-                ids = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], 4 * ends]).astype("<i8")), pa.py_buffer(shard.ids())]).cast(pa.binary())
-                doc_ids = pa.array(shard.doc_ids, mask=shard.doc_ids == _NULL)
-                columns = [doc_ids, pa.array(start + ends - shard.lengths), pa.array(shard.lengths.astype(np.int64)), ids]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids"])
-
-    placed = df.join(base, "part").select((F.col("start") + F.col("base")).alias("start"), "payload")
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+            for name, entries in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                payloads = read_ranges(f"{folder}/{name}", [(e["offset"], e["length"]) for e in entries])
+                for start, payload in zip([e["start"] for e in entries], payloads, strict=True):
+                    shard = Shard(payload)
+                    ends = np.cumsum(shard.lengths.astype(np.int64))
+                    places = pa.py_buffer(np.concatenate([[0], 4 * ends]).astype("<i8"))
+                    ids = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, places, pa.py_buffer(shard.ids())]).cast(pa.binary())
+                    doc_ids = pa.array(shard.doc_ids, mask=shard.doc_ids == _NULL)
+                    columns = [doc_ids, pa.array(start + ends - shard.lengths), pa.array(shard.lengths.astype(np.int64)), ids]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids"])
+
+    placed = df.join(base, "part").withColumn("start", F.col("start") + F.col("base"))
+    return listing(placed, "length", "start").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")

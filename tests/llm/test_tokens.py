@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 
 import numpy as np
@@ -11,6 +12,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from lumbrera.llm import packing, repair
+from lumbrera.llm.files import read_ranges
 from lumbrera.llm.tokens import encoder, public_path
 
 FILES = (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False))
@@ -89,8 +91,12 @@ def test_shards_round_trip_and_random_access(docs, texts):
         assert (row.start, row.n_tokens) == (start, len(ids))
         assert row.ids == ids.tobytes()
         start += len(ids)
-    for payload in shards.df.toPandas().payload:
-        shard = repair.Shard(bytes(payload))
+    index = shards.df.toPandas()
+    assert len(index) > 3 and index.groupby("name").length.sum().to_dict() == {n: os.path.getsize(f"{shards.folder}/{n}") for n in index.name}
+    assert set(os.listdir(shards.folder)) == set(index.name)  # no attempts are left
+    for row in index.itertuples():
+        (payload,) = read_ranges(f"{shards.folder}/{row.name}", [(row.offset, row.length)])
+        shard = repair.Shard(payload)
         whole, at = shard.ids(), 0
         for k, n in enumerate(shard.lengths.tolist()):
             assert (shard.document(k, n // 3, n // 2 + 1) == whole[at : at + n][n // 3 : n // 2 + 1]).all()
