@@ -7,8 +7,8 @@ pool of which it is most certain, and the other view learns from them. Both are
 calibrated on labelled documents that neither has seen, and the calibrated
 log-odds are combined to score every document of the corpus.
 
-Learned from at most about ``train_docs`` labelled and ``pool_docs`` unlabelled
-documents, chosen by the hash of doc_id: bounded samples whatever the corpus.
+Learned from about ``train_docs`` labelled and ``pool_docs`` unlabelled documents
+at most, chosen by the hash of doc_id: bounded samples whatever the corpus.
 A document is good if its quality is 1 and it isn't toxic.
 
 Defined results: null and empty texts have no content features and are scored
@@ -190,10 +190,6 @@ def cotrain(labelled: list[tuple[Features, Features]], good: np.ndarray, pool: l
     return Model(*views, fit_small(odds, good[judge], np.array([1.0, 1.0, -prior])))
 
 
-def _fraction(df: DataFrame, wanted: int) -> float:
-    return min(1.0, wanted / max(df.count(), 1))
-
-
 def _features(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -209,16 +205,28 @@ def _features(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "place long, good boolean, c0 binary, n0 binary, c1 binary, n1 binary")
 
 
+def sample(docs: DataFrame, labels: DataFrame, train_docs: int, pool_docs: int) -> DataFrame:
+    """About ``train_docs`` labelled (good true or false) and ``pool_docs`` other documents (good null), each by a fraction of its own.
+
+    Labels are sampled before they meet the documents, so what is broadcast and
+    collected is bounded whatever the numbers of labels and documents. Where
+    there are more labels than ``train_docs``, documents whose label was not
+    drawn may be in the pool.
+    """
+    parts = 1 << 60
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(_SEED)), F.lit(parts))
+    share = lambda wanted, n: F.lit(max(1, int(min(1.0, wanted / max(n, 1)) * parts)))
+    given = only(labels, "doc_id", "quality", "toxic").dropna().groupBy("doc_id").agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
+    given = given.withColumn("place", place)
+    drawn = given.filter(F.col("place") < share(train_docs, given.count())).select("doc_id", "good")
+    asked = only(docs, "doc_id", "text", "source", "lang").filter(F.col("doc_id").isNotNull()).withColumn("place", place)
+    asked = asked.join(F.broadcast(drawn), "doc_id", "left").filter(F.col("good").isNotNull() | (F.col("place") < share(pool_docs, docs.count())))
+    return asked.dropDuplicates(["doc_id"])
+
+
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = 6000, pool_docs: int = 4000, rounds: int = 3) -> Model | None:
     """Fit on bounded samples of the labelled and the other documents."""
-    parts = 1 << 30
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(_SEED)), F.lit(parts))
-    given = only(labels, "doc_id", "quality", "toxic").dropna().groupBy("doc_id").agg((F.min((F.col("quality") == 1) & (F.col("toxic") == 0))).alias("good"))
-    share = max(_fraction(given, train_docs), _fraction(docs, pool_docs))
-    given = given.withColumn("place", place).filter(F.col("place") < F.lit(int(share * parts)))
-    asked = only(docs, "doc_id", "text", "source", "lang").withColumn("place", place).filter(F.col("place") < F.lit(int(share * parts)))
-    asked = asked.dropDuplicates(["doc_id"]).join(given.select("doc_id", "good"), "doc_id", "left")
-    rows = _features(asked).toArrow().sort_by("place")
+    rows = _features(sample(docs, labels, train_docs, pool_docs)).toArrow().sort_by("place")
     features = [tuple(Features(np.frombuffer(c, np.uint32), np.frombuffer(n)) for c, n in ((a, b), (d, e))) for a, b, d, e in zip(*(rows[c].to_pylist() for c in ("c0", "n0", "c1", "n1")), strict=True)]
     truth = rows["good"].to_pylist()
     known = [i for i, g in enumerate(truth) if g is not None][:train_docs]
