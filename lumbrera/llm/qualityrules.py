@@ -152,14 +152,41 @@ def measure(docs: DataFrame) -> DataFrame:
     return asked.mapInArrow(run, schema)
 
 
+def _summed(histograms: DataFrame) -> DataFrame:
+    """lang, bin, n: the sums of (lang, histogram) over each task, then over all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def flush() -> pa.RecordBatch:
+            langs, sums = list(held), np.array(list(held.values())).reshape(-1)
+            held.clear()
+            bins = np.tile(np.arange(_BINS, dtype=np.int32), len(langs))
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(langs, object), _BINS), pa.string()), pa.array(bins), pa.array(sums)], names=["lang", "bin", "n"])
+
+        for batch in batches:
+            langs = batch.column(0).dictionary_encode()
+            code, rows = langs.indices.to_numpy(), batch.column(1).flatten().to_numpy().reshape(-1, _BINS)
+            for k, lang in enumerate(langs.dictionary.to_pylist()):
+                held[lang] = held.get(lang, 0) + rows[code == k].sum(0, dtype=np.int64)
+            if len(held) > MOST_LANGUAGES:
+                yield flush()
+        if held:
+            yield flush()
+
+    return histograms.mapInArrow(run, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
+
+
 def references(measured: DataFrame) -> dict[str, np.ndarray]:
     """The summed histogram of each language."""
-    usable = measured.filter(F.col("lang").isNotNull() & ~F.col("base_failed"))
-    sums = usable.groupBy("lang").agg(*[F.sum(F.col("histogram")[i].cast("long")).alias(f"h{i}") for i in range(_BINS)])
-    rows = sums.limit(MOST_LANGUAGES + 1).collect()
-    if len(rows) > MOST_LANGUAGES:
+    usable = measured.filter(F.col("lang").isNotNull() & ~F.col("base_failed")).select("lang", "histogram")
+    rows = _summed(usable).limit(MOST_LANGUAGES * _BINS + 1).collect()
+    if len(rows) > MOST_LANGUAGES * _BINS:
         raise ValueError(f"over {MOST_LANGUAGES} labels in lang")
-    return {r["lang"]: np.array(r[1:], np.float64) for r in rows}
+    out: dict[str, np.ndarray] = {}
+    for lang, at, n in rows:
+        out.setdefault(lang, np.zeros(_BINS))[at] = n
+    return dict(sorted(out.items()))
 
 
 def judge(docs: DataFrame, class_limit: float = 0.24, word_limit: float = 0.27, allowance: float = 0.75, least_words: int = 50) -> DataFrame:
