@@ -159,8 +159,8 @@ def labelled_sample(docs: DataFrame, train_docs: int) -> tuple[list[np.ndarray],
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"over {MOST_LANGUAGES} labels in lang")
     train_docs = min(train_docs, max(LEAST_DOCS, SAMPLE_DOCS // len(counts)))
-    parts = 1 << 24
-    limits = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, train_docs / n) * parts))])
+    parts = 1 << 60
+    limits = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, max(1, int(min(1.0, train_docs / n) * parts)))])
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(parts))
     sample = usable.filter(place < limits[F.col("lang")]).dropDuplicates(["doc_id", "lang"])
 
