@@ -35,10 +35,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _hadoop(spark: SparkSession, path: str):  # noqa: ANN202
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    store, path = _hadoop(spark, path)
+    store.delete(path, True)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    store, path = _hadoop(spark, path)
+    store.mkdirs(path)
 
 
 _scopes: list[list[tuple[SparkSession, str]]] = []

@@ -17,7 +17,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, delete_path
+from .common import Written, delete_path, make_folder
 
 ATTEMPTS = "_attempts"
 
@@ -61,6 +61,7 @@ def publish(written: DataFrame, folder: str) -> None:
                     raise FileNotFoundError(mine)
             yield pa.RecordBatch.from_arrays([batch.column(1)], names=["name"])
 
+    make_folder(written.sparkSession, folder)
     renamed = Written(written.select("attempt", "name").distinct().mapInArrow(run, "name string"), "published")
     renamed.drop()
     delete_path(written.sparkSession, f"{folder}/{ATTEMPTS}")

@@ -37,8 +37,8 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import warc
 
-    members = warc.normalise(warc.write_monolithic(table(spark, sf_dir, "pages"), 0).df)
-    found = warc.read_records(members.df, warc.sidecar_index(members.df).df)
+    members = warc.normalise(warc.write_monolithic(table(spark, sf_dir, "pages"), 0))
+    found = warc.read_records(members, warc.sidecar_index(members))
     return found.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
 
 

@@ -7,9 +7,9 @@ sidecar index with each member's offset and length. Equal payloads are stored
 once: the record with the smallest page_id is the response, the others are
 revisits that refer to it and carry its digest and length.
 
-Files are rows of written tables (name, content), so task commits make them
-whole after lost executors; ``export_files`` puts them into a folder or store,
-``read_files`` reads any such files.
+Archives (``.warc.gz``) and sidecar indexes (``.idx``, a line of JSON per record)
+are files in the shared folder, written under attempts' names and renamed (see
+``files``); ``read_files`` lists gzip files of any layout for the normaliser.
 
 Defined results: null html is an empty payload; a null page_id is written
 without a number, is no reference for others unless all equal payloads have
@@ -22,18 +22,29 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Written, only, slices
+from .common import Written, only, scratch_path, slices
+from .files import Attempt, listing, publish, read_ranges, store_of
 
 _HEAD_END = b"\r\n\r\n"
-ARCHIVES = "archive string, content binary"
-INDEX = "array<struct<page_id: bigint, kind: string, offset: bigint, length: bigint>>"
+#: A broadcast table of payload digests has at most so many rows.
+BROADCAST_ROWS = 200_000
+INDEX = "name string, page_id long, kind string, offset long, length long"
+
+
+class Archives(NamedTuple):
+    """A folder of archives, and a table of their names (relative to it)."""
+
+    folder: str
+    names: DataFrame
 
 
 def payload_digest(payload: bytes) -> str:
@@ -86,19 +97,27 @@ def records(pieces: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         raise ValueError("the archive ends within a record")
 
 
-def inflate(content: bytes, step: int = 1 << 18) -> Iterator[bytes]:
-    """A gzip file of one or more members, inflated in pieces of bounded size."""
-    view, at = memoryview(content), 0
-    while at < len(view):
-        stream = zlib.decompressobj(31)
-        while not stream.eof:
-            given = stream.unconsumed_tail or bytes(view[at : at + step])
-            if not stream.unconsumed_tail:
-                at += len(given)
-            if not given:
-                raise ValueError("the gzip stream is cut off")
-            yield stream.decompress(given, step * 4)
-        at -= len(stream.unused_data)
+def inflate(pieces: Iterator[bytes], step: int = 1 << 20) -> Iterator[bytes]:
+    """A gzip file of one or more members, given and inflated in pieces of bounded size."""
+    stream = None
+    for piece in pieces:
+        while piece:
+            stream = stream or zlib.decompressobj(31)
+            yield stream.decompress(piece, step)
+            piece = stream.unconsumed_tail
+            while not piece and (more := stream.decompress(b"", step)):
+                yield more
+            if stream.eof:
+                piece, stream = stream.unused_data, None
+    if stream:
+        raise ValueError("the gzip stream is cut off")
+
+
+def _read_pieces(uri: str, step: int = 1 << 18) -> Iterator[bytes]:
+    store, path = store_of(uri)
+    with store.open_input_file(path) as source:
+        while piece := source.read(step):
+            yield piece
 
 
 def deflate(data: bytes, level: int = 6) -> bytes:
@@ -112,108 +131,117 @@ def duplicates(pages: DataFrame, least_bytes: int) -> Written:
     return Written(sums.filter("n > 1").select("digest", "first"), "warc-duplicates")
 
 
-def write_monolithic(pages: DataFrame, least_bytes: int = 0, archive_bytes: int = 16 << 20) -> Written:
+def write_monolithic(pages: DataFrame, least_bytes: int = 0, archive_bytes: int = 16 << 20, folder: str | None = None) -> Archives:
     """Archives of about ``archive_bytes`` before compression, each one gzip stream."""
+    folder = folder or scratch_path(pages.sparkSession, "warc-monolithic")
     given = only(pages, "page_id", "url", "html").select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
     given = given.withColumn("digest", F.sha1("html"))
-    marked = given.join(duplicates(given, least_bytes).df.withColumn("again", F.lit(True)), "digest", "left")
+    again = duplicates(given, least_bytes).df.withColumn("again", F.lit(True))
+    few = again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    marked = given.join(F.broadcast(again) if few else again.hint("merge"), "digest", "left")
     revisit = F.coalesce(F.col("again"), F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("first"))
     dealt = marked.select("page_id", "url", "html", "digest", "first", revisit.alias("revisit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, n, size, parts, stream = TaskContext.get().partitionId(), 0, 0, [], zlib.compressobj(6, zlib.DEFLATED, 31)
+        part, size, out, stream, rows = TaskContext.get().partitionId(), 0, None, None, []
 
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f"part-{part:06d}-{n:06d}"]), pa.array([b"".join(parts) + stream.flush()], pa.binary())], names=["archive", "content"])
+        def done() -> None:
+            nonlocal size, out
+            out.write(stream.flush())
+            rows.append((out.close(), f"part-{part:06d}-{len(rows):06d}.warc.gz"))
+            size, out = 0, None
 
         for batch in slices(batches, "html"):
             for page_id, url, html, digest, first, again in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                payload = html.encode("utf-8", "surrogatepass")
+                if out is None:
+                    out, stream = Attempt(folder), zlib.compressobj(6, zlib.DEFLATED, 31)
                 base32 = base64.b32encode(bytes.fromhex(digest)).decode()
-                raw = record(page_id, url, payload, base32, first, again)
-                parts.append(stream.compress(raw))
+                raw = record(page_id, url, html.encode("utf-8", "surrogatepass"), base32, first, again)
+                out.write(stream.compress(raw))
                 size += len(raw)
                 if size >= archive_bytes:
-                    yield done()
-                    n, size, parts, stream = n + 1, 0, [], zlib.compressobj(6, zlib.DEFLATED, 31)
-        if size:
-            yield done()
-
-    return Written(dealt.mapInArrow(run, ARCHIVES), "warc-monolithic", "none")
-
+                    done()
+        if out:
+            done()
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["attempt", "name"])
 
-def normalise(archives: DataFrame) -> Written:
-    """archive, content (a gzip member per record), entries (the index) for archives of any gzip layout."""
+    written = Written(dealt.mapInArrow(run, "attempt string, name string"), "warc-names")
+    publish(written.df, folder)
+    return Archives(folder, written.df.select("name"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "content", 1):
-            name, content = (c[0].as_py() for c in batch.columns)
-            members, entries, offset = [], [], 0
-            for head, raw in records(inflate(content)):
-                members.append(deflate(raw))
-                entries.append({"page_id": _page_id(head["warc-record-id"]), "kind": head["warc-type"], "offset": offset, "length": len(members[-1])})
-                offset += len(members[-1])
-            kind = pa.list_(pa.struct([("page_id", pa.int64()), ("kind", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(members)], pa.binary()), pa.array([entries], kind)], names=["archive", "content", "entries"])
-
-    return Written(only(archives, "archive", "content").mapInArrow(run, f"{ARCHIVES}, entries {INDEX}"), "warc-members", "none")
 
+def read_files(spark: SparkSession, folder: str) -> Archives:
+    """The gzip files of a folder, of any layout."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    return Archives(folder, found)
 
-def sidecar_index(members: DataFrame) -> Written:
-    """archive, page_id, kind, offset, length of every record, as a table of its own."""
-    return Written(members.select("archive", F.inline("entries")), "warc-index")
 
+def normalise(archives: Archives, folder: str | None = None) -> Archives:
+    """Archives with a gzip member per record, each with its sidecar index, for archives of any gzip layout."""
+    folder = folder or scratch_path(archives.names.sparkSession, "warc-members")
+    source = archives.folder
 
-def read_records(members: DataFrame, index: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name in batch.column(0).to_pylist():
+                members, index = Attempt(folder), Attempt(folder)
+                for head, raw in records(inflate(_read_pieces(f"{source}/{name}"))):
+                    member = deflate(raw)
+                    entry = {"page_id": _page_id(head["warc-record-id"]), "kind": head["warc-type"], "offset": members.at, "length": len(member)}
+                    index.write(json.dumps(entry | {"name": name}).encode() + b"\n")
+                    members.write(member)
+                rows += [(members.close(), name), (index.close(), name.removesuffix(".gz").removesuffix(".warc") + ".idx")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["attempt", "name"])
+
+    # A task per archive: the rows are small and the files they stand for are not.
+    names = archives.names.select("name")
+    dealt = names.repartitionByRange(max(1, min(names.count(), 20_000)), "name")
+    written = Written(dealt.mapInArrow(run, "attempt string, name string"), "warc-member-names")
+    publish(written.df, folder)
+    return Archives(folder, written.df.select("name").filter("name LIKE '%.gz'"))
+
+
+def sidecar_index(members: Archives) -> DataFrame:
+    """name (of the archive), page_id, kind, offset, length of every record, from the sidecar files."""
+    return members.names.sparkSession.read.schema(INDEX).option("pathGlobFilter", "*.idx").json(members.folder)
+
+
+def read_records(members: Archives, index: DataFrame) -> DataFrame:
     """Each indexed record read from its own member: page_id, url, kind, payload_bytes, payload_digest, refers_to, payload (null for revisits)."""
-    wanted = index.groupBy("archive").agg(F.collect_list(F.struct("offset", "length")).alias("wanted"))
+    folder = members.folder
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "content", 1):
-            content, out = batch.column(0)[0].as_buffer(), []
-            view = memoryview(content)
-            for entry in batch.column(1)[0].as_py():
-                raw = zlib.decompress(view[entry["offset"] : entry["offset"] + entry["length"]], 31)
-                cut = raw.index(_HEAD_END)
-                head = headers(raw[:cut])
-                again = head["warc-type"] == "revisit"
-                payload = None if again else raw[cut + len(_HEAD_END) : -len(_HEAD_END)]
-                digest = head["warc-payload-digest"].removeprefix("sha1:")
-                if payload is not None and (payload_digest(payload) != digest or len(payload) != int(head["x-payload-length"])):
-                    raise ValueError(f"payload of {head['warc-record-id']} doesn't match its digest")
-                refers_to = _page_id(head["warc-refers-to"]) if again else None
-                out.append((_page_id(head["warc-record-id"]), head["warc-target-uri"], head["warc-type"], int(head["x-payload-length"]), digest, refers_to, payload))
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
-            names = ["page_id", "url", "kind", "payload_bytes", "payload_digest", "refers_to", "payload"]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=names)
+        for batch in batches:
+            for name, entries in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out, held = [], 0
+                for member in read_ranges(f"{folder}/{name}", [(e["offset"], e["length"]) for e in entries]):
+                    raw = zlib.decompress(member, 31)
+                    cut = raw.index(_HEAD_END)
+                    head = headers(raw[:cut])
+                    again = head["warc-type"] == "revisit"
+                    payload = None if again else raw[cut + len(_HEAD_END) : -len(_HEAD_END)]
+                    digest = head["warc-payload-digest"].removeprefix("sha1:")
+                    if payload is not None and (payload_digest(payload) != digest or len(payload) != int(head["x-payload-length"])):
+                        raise ValueError(f"payload of {head['warc-record-id']} doesn't match its digest")
+                    refers_to = _page_id(head["warc-refers-to"]) if again else None
+                    out.append((_page_id(head["warc-record-id"]), head["warc-target-uri"], head["warc-type"], int(head["x-payload-length"]), digest, refers_to, payload))
+                    held += len(raw)
+                    if held > _READ_BYTES:
+                        yield _record_batch(out)
+                        out, held = [], 0
+                yield _record_batch(out)
 
     schema = "page_id long, url string, kind string, payload_bytes long, payload_digest string, refers_to long, payload binary"
-    return members.join(wanted, "archive").select("content", "wanted").mapInArrow(run, schema)
-
-
-def export_files(members: DataFrame, uri: str) -> DataFrame:
-    """Write ``<archive>.warc.gz`` and ``<archive>.idx`` (JSON lines) under uri; a repeated task writes the same files."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
-
-        from pyarrow import fs
+    return listing(index, "length").mapInArrow(run, schema)
 
-        store, folder = fs.FileSystem.from_uri(uri)
-        store.create_dir(folder, recursive=True)
-        for batch in slices(batches, "content", 1):
-            name, content, entries = (c[0].as_py() for c in batch.columns)
-            for suffix, data in ((".warc.gz", content), (".idx", "".join(json.dumps(e) + "\n" for e in entries).encode())):
-                with store.open_output_stream(f"{folder}/{name}{suffix}", compression=None) as out:
-                    out.write(data)
-            yield pa.RecordBatch.from_arrays([pa.array([f"{uri}/{name}.warc.gz"]), pa.array([len(entries)], pa.int64())], names=["path", "n_records"])
 
-    return only(members, "archive", "content", "entries").mapInArrow(run, "path string, n_records long")
+_READ_BYTES = 4 << 20
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """archive, content of gzip files of any layout."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]*?)(\.warc)?\.gz$", 1).alias("archive"), "content")
+def _record_batch(out: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+    names = ["page_id", "url", "kind", "payload_bytes", "payload_digest", "refers_to", "payload"]
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=names)

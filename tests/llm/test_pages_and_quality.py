@@ -6,7 +6,10 @@ import base64
 import collections
 import gzip
 import hashlib
+import json
+import os
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -26,9 +29,9 @@ def pages(spark):
 
 
 def test_archives_round_trip(spark, pages, tmp_path):
-    mono = warc.write_monolithic(pages, 0, archive_bytes=1000)
-    members = warc.normalise(mono.df)
-    rows = {r["page_id"]: r for r in warc.read_records(members.df, warc.sidecar_index(members.df).df).collect()}
+    mono = warc.write_monolithic(pages, 0, archive_bytes=1000, folder=f"{tmp_path}/mono")
+    members = warc.normalise(mono, folder=f"{tmp_path}/out")
+    rows = {r["page_id"]: r for r in warc.read_records(members, warc.sidecar_index(members)).collect()}
     html = {r["page_id"]: (r["html"] or "").encode() for r in pages.collect()}
     assert set(rows) == set(html)
     first = {}
@@ -40,25 +43,39 @@ def test_archives_round_trip(spark, pages, tmp_path):
         again = first[html[i]] != i
         assert (r["kind"], r["refers_to"]) == (("revisit", first[html[i]]) if again else ("response", None))
         assert r["payload"] == (None if again else html[i])
-    for row in members.df.collect():
-        data = bytes(row["content"])
-        whole = gzip.decompress(data)
-        parts = b"".join(gzip.decompress(data[e["offset"] : e["offset"] + e["length"]]) for e in row["entries"])
-        assert whole == parts and sum(e["length"] for e in row["entries"]) == len(data)
-    warc.export_files(members.df, f"file://{tmp_path}/out").collect()
-    again = warc.normalise(warc.read_files(spark, f"{tmp_path}/out/*.gz"))
-    assert again.df.selectExpr("sum(size(entries))").first()[0] == len(html)
+    names = sorted(r["name"] for r in members.names.collect())
+    assert sorted(os.listdir(f"{tmp_path}/mono")) == names and len(names) > 1
+    assert sorted(os.listdir(f"{tmp_path}/out")) == sorted([*names, *(n.replace(".warc.gz", ".idx") for n in names)])
+    for name in names:
+        data, entries = Path(tmp_path, "out", name).read_bytes(), [json.loads(x) for x in Path(tmp_path, "out", name.replace(".warc.gz", ".idx")).read_text().splitlines()]
+        parts = b"".join(gzip.decompress(data[e["offset"] : e["offset"] + e["length"]]) for e in entries)
+        assert gzip.decompress(data) == parts == gzip.decompress(Path(tmp_path, "mono", name).read_bytes()) and sum(e["length"] for e in entries) == len(data)
+    again = warc.normalise(warc.read_files(spark, f"{tmp_path}/out"))
+    assert warc.sidecar_index(again).count() == len(html)
+
+
+def test_no_archives(pages):
+    members = warc.normalise(warc.write_monolithic(pages.filter("false")))
+    assert warc.read_records(members, warc.sidecar_index(members)).count() == 0
+
+
+def test_members_in_pieces():
+    data = [bytes([i]) * 3000 for i in range(5)]
+    whole = b"".join(map(warc.deflate, data))
+    for step in (1, 7, 1000):
+        pieces = (whole[i : i + step] for i in range(0, len(whole), step))
+        assert b"".join(warc.inflate(pieces, step=11)) == b"".join(data)
 
 
 def test_a_cut_archive_is_an_error():
     whole = warc.deflate(warc.record(1, "u", b"abc" * 50, "D", None, False))
     with pytest.raises(ValueError):
-        list(warc.records(warc.inflate(whole[:-20])))
+        list(warc.records(warc.inflate(iter([whole[:-20]]))))
 
 
 def test_small_payloads_are_all_responses(pages):
-    members = warc.normalise(warc.write_monolithic(pages, 1000).df)
-    assert warc.read_records(members.df, warc.sidecar_index(members.df).df).filter("kind = 'revisit'").count() == 0
+    members = warc.normalise(warc.write_monolithic(pages, 1000))
+    assert warc.read_records(members, warc.sidecar_index(members)).filter("kind = 'revisit'").count() == 0
 
 
 @pytest.mark.parametrize(
@@ -166,6 +183,39 @@ def test_cotraining_rejects_what_it_was_taught(judged):
     assert rows.score.between(0, 1).all()
 
 
+@pytest.mark.parametrize("labelled", [50, 3000])
+def test_what_is_collected_is_bounded(spark, labelled):
+    docs = spark.range(20_000).selectExpr("id AS doc_id", "'a b' AS text", "'s' AS source", "'en' AS lang")
+    labels = spark.range(labelled).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS quality", "0 AS toxic")
+    drawn = cotrain.sample(docs, labels, 600, 400)
+    known = drawn.filter("good IS NOT NULL").count()
+    assert known == labelled if labelled < 600 else 500 < known < 700
+    assert 300 < drawn.filter("good IS NULL").count() < 500
+
+
+def brute_distance(p, q):
+    p, q = p / p.sum(), q / q.sum()
+    m = (p + q) / 2
+    part = lambda a: sum(x * np.log2(x / y) for x, y in zip(a, m, strict=True) if x > 0)
+    return np.sqrt(max(0, (part(p) + part(q)) / 2))
+
+
+def test_divergence_verdicts_by_brute_force(docs, texts):
+    rows = {r["doc_id"]: r for r in qualityrules.judge(docs).collect()}
+    split, langs = len(qualityrules.CLASSES), ["en", "fr", None]
+    histogram = {i: qualityrules.histograms((t or "").encode(), (t or "").encode().split()).astype(float) for i, t in texts.items()}
+    counted = [(i, histogram[i]) for i in texts] + [(5, histogram[5])]
+    references = [sum(h for i, h in counted if langs[i % 3] == lang and not rows[i]["base_failed"]) for lang in ("en", "fr")]
+    for i, r in rows.items():
+        n, h = r["n_words"], histogram[i]
+        far = False
+        if n >= 50:
+            by_class, by_word = (min(brute_distance(h[a:b], ref[a:b]) for ref in references) for a, b in ((0, split), (split, None)))
+            assert abs(by_class - r["class_distance"]) < 1e-6 and abs(by_word - r["word_distance"]) < 1e-6
+            far = by_class > 0.24 + 0.375 / np.sqrt(n) or by_word > 0.27 + 0.75 / np.sqrt(n)
+        assert r["kept"] == (not r["base_failed"] and not far)
+
+
 def test_cotraining_without_two_kinds(judged, docs, empty_docs):
     given, labels = judged
     model = cotrain.train(given, labels.filter("toxic = 0 and quality = 1"))
