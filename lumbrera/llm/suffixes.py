@@ -11,9 +11,14 @@ dealt by anchor, and each task sorts the suffixes that start a window:
 * all others are induced by a scan over the first-byte buckets,
 * neighbours with a common prefix of ``length`` bytes or more are equal windows.
 
-Work that travels is packed in blobs per target, and within a task equal
-contexts of many copies are settled at once: they go out once, with the
-smallest doc_id, so a hot passage costs one entry per batch of documents.
+Work that travels is packed in blobs per target. Before anything travels,
+equal contexts within a batch of documents are aggregated: they go out once,
+with the smallest doc_id, and the others are settled, so a hot passage costs
+one entry per batch (``settle=False`` sends every context to the sort; results
+are the same). In a bucket, equal contexts share a row of the sorted grid, and
+the order of suffixes decides every occurrence. An anchor with over HOT_ENTRIES
+entries is dealt by its windows' own hashes instead, one window each, so that
+different windows of a frequent anchor meet in different buckets.
 
 Defined results: text null or shorter than ``length`` loses nothing; rows with
 equal doc_id do not affect each other; a null doc_id counts as larger than all
@@ -39,6 +44,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LAST = np.iinfo(np.int64).max
 #: Text bytes per target of the dealt work.
 BUCKET_BYTES = 3 << 20
+#: Anchors with more entries than this are dealt by window.
+HOT_ENTRIES = 20_000
 
 
 def pack_arrays(*arrays: np.ndarray) -> bytes:
@@ -140,7 +147,7 @@ def _equal_contexts(data: np.ndarray, start: np.ndarray, size: np.ndarray, key:
     return out
 
 
-def find_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
+def find_anchors(docs: DataFrame, length: int, buckets: int, settle: bool = True) -> DataFrame:
     """Blobs of anchors per bucket (kind 0), and of intervals that are settled already per document bucket (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,10 +160,12 @@ def find_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
                 continue
             doc = np.searchsorted(ends, start, "right")
             own = ids[doc]
-            twin = _equal_contexts(data, start, count + length - 1, a)
-            least = np.full(len(a), _LAST)
-            np.minimum.at(least, twin, own)
-            settled = own > least[twin]
+            settled = np.zeros(len(a), bool)
+            if settle:
+                twin = _equal_contexts(data, start, count + length - 1, a)
+                least = np.full(len(a), _LAST)
+                np.minimum.at(least, twin, own)
+                settled = own > least[twin]
             at = start - np.concatenate([[0], ends[:-1]])[doc]
             out: tuple[list, ...] = ([], [], [])
 
@@ -172,7 +181,7 @@ def find_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
             deal(0, (short % np.uint64(buckets)).astype(np.int64), short.astype("<u8"), own[live], rows[doc[live]], at[live], count[live].astype(np.uint8))
             if settled.any():
                 row = rows[doc[settled]]
-                deal(1, np.mod(row, buckets), row, at[settled], at[settled] + count[settled] + length - 1)
+                deal(1, np.mod(row, buckets), row, own[settled], at[settled], at[settled] + count[settled] + length - 1)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.binary())], names=["kind", "bucket", "blob"])
 
     return docs.mapInArrow(run, "kind int, bucket int, blob binary")
@@ -191,7 +200,7 @@ def _deal_table(kind: int, target: np.ndarray, columns: tuple[np.ndarray, ...])
     return pa.table({"kind": pa.array([kind] * len(blobs), pa.int32()), "bucket": pa.array(found.tolist() if blobs else [], pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
 
-def recurring(found: DataFrame, buckets: int) -> DataFrame:
+def recurring(found: DataFrame, buckets: int, hot: int = HOT_ENTRIES) -> DataFrame:
     """Per document bucket, blobs of the anchors that occur in two documents or more (kind 0); kind 1 passes."""
 
     def run(rows: pa.Table) -> pa.Table:
@@ -205,20 +214,38 @@ def recurring(found: DataFrame, buckets: int) -> DataFrame:
         begin = np.nonzero(new)[0]
         size = np.diff(begin, append=len(a))
         many = np.repeat(doc[begin] != doc[begin + size - 1], size)
-        pick = order[many]
-        pick = pick[np.lexsort((at[pick], row[pick]))]
-        hashes = np.empty(len(order), a.dtype)
-        hashes[order] = a
-        return _deal_table(0, np.mod(row[pick], buckets), (row[pick], at[pick], count[pick], hashes[pick]))
+        back = np.argsort(order, kind="stable")
+        a, doc, crowded, many = (c[back] for c in (a, doc, np.repeat(size > hot, size), many))
+        pick = np.nonzero(many)[0]
+        pick = pick[np.lexsort((at[pick], doc[pick], row[pick]))]
+        return _deal_table(0, np.mod(row[pick], buckets), (row[pick], doc[pick], at[pick], count[pick], a[pick], crowded[pick]))
 
     return found.groupBy("kind", "bucket").applyInArrow(run, "kind int, bucket int, blob binary")
 
 
-def _per_row(blobs: list[np.ndarray]) -> dict[int, slice]:
-    """Where each row's entries are; the entries must be sorted by row."""
-    row = blobs[0]
-    begin = np.nonzero(np.concatenate([[True], row[1:] != row[:-1]]))[0] if len(row) else np.zeros(0, int)
-    return {int(row[b]): slice(int(b), int(e)) for b, e in zip(begin, [*begin[1:], len(row)], strict=True)}
+def _per_row(entries: list[np.ndarray]) -> tuple[list[np.ndarray], dict[tuple[int, int], slice]]:
+    """The entries (row key, doc id, ...) in order, and where each row's are.
+
+    Rows are told apart by both: row keys are hashes and may be equal for different documents.
+    """
+    order = np.lexsort((entries[1], entries[0]))
+    entries = [c[order] for c in entries]
+    row, doc = entries[:2]
+    begin = np.nonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (doc[1:] != doc[:-1])]))[0] if len(row) else np.zeros(0, int)
+    return entries, {(int(row[b]), int(doc[b])): slice(int(b), int(e)) for b, e in zip(begin, [*begin[1:], len(row)], strict=True)}
+
+
+def _by_window(data: np.ndarray, base: np.ndarray, doc: np.ndarray, at: np.ndarray, count: np.ndarray, target: np.ndarray, crowded: np.ndarray, length: int, buckets: int) -> tuple[np.ndarray, ...]:
+    """Crowded contexts as contexts of one window each, dealt by the window's bytes."""
+    whole, n = ~crowded, count[crowded].astype(np.int64)
+    own, start = np.repeat(doc[crowded], n), _ranges(at[crowded], n)
+    h = np.zeros(len(own), np.uint64)
+    for j in range(length):
+        h = h * _MULT + data[base[own] + start + j]
+    h ^= h >> np.uint64(31)
+    dealt = ((h * _MIX >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
+    parts = ((doc[whole], own), (at[whole], start), (count[whole], np.ones(len(own), count.dtype)), (target[whole], dealt))
+    return tuple(np.concatenate(p) for p in parts)
 
 
 def contexts(docs: DataFrame, marks: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -227,22 +254,22 @@ def contexts(docs: DataFrame, marks: DataFrame, length: int, buckets: int) -> Da
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _deal_table(0, np.zeros(0, np.int64), ())
-        entries = _blobs(right)
-        order = np.lexsort((entries[1], entries[0]))
-        entries = [c[order] for c in entries]
-        where, parts = _per_row(entries), []
+        entries, where = _per_row(_blobs(right))
+        parts = []
         for batch in slices(left.combine_chunks().to_batches(), "text", SLICE_BYTES):
             ids, rows, texts = _documents(batch)
             data = np.frombuffer(b"".join(texts), np.uint8)
             base = np.concatenate([[0], np.cumsum([len(t) for t in texts])[:-1]]).astype(np.int64)
-            spans = [(i, where[r]) for i, r in enumerate(rows.tolist()) if r in where]
+            spans = [(i, where[k]) for i, k in enumerate(zip(rows.tolist(), ids.tolist(), strict=True)) if k in where]
             if not spans:
                 continue
             pick = np.concatenate([np.arange(s.start, s.stop) for _, s in spans])
             doc = np.repeat([i for i, _ in spans], [s.stop - s.start for _, s in spans])
-            at, count, a = (c[pick] for c in entries[1:])
-            size = count.astype(np.int64) + length - 1
+            at, count, a, crowded = (c[pick] for c in entries[2:])
             target = (a % np.uint64(buckets)).astype(np.int64)
+            if crowded.any():
+                doc, at, count, target = _by_window(data, base, doc, at, count, target, crowded, length, buckets)
+            size = count.astype(np.int64) + length - 1
             order = np.argsort(target, kind="stable")
             found, begin = np.unique(target[order], return_index=True)
             for b, own in zip(found.tolist(), np.split(order, begin[1:]), strict=True):
@@ -345,56 +372,51 @@ def common_prefix_reaches(grid: np.ndarray, places: np.ndarray, length: int) ->
     return same
 
 
-def earlier_windows(grid: np.ndarray, width: int, count: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
-    """For each row's window (row, column): whether its bytes also start in a row with a smaller doc."""
-    marked = np.zeros(grid.shape, bool)
+def first_documents(grid: np.ndarray, width: int, count: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """For each row's window (row, column): the least doc of the rows where its bytes start, by the order of suffixes."""
+    first = np.full((len(grid), int(count.max(initial=0))), _LAST)
     places = two_stage_sort(grid, width, count)
     if len(places):
         begin = np.nonzero(~common_prefix_reaches(grid, places, length))[0]
-        own = doc[places // grid.shape[1]]
-        least = np.repeat(np.minimum.reduceat(own, begin), np.diff(begin, append=len(places)))
-        marked.reshape(-1)[places[least < own]] = True
-    return marked
+        row, col = np.divmod(places, grid.shape[1])
+        first[row, col] = np.repeat(np.minimum.reduceat(doc[row], begin), np.diff(begin, append=len(places)))
+    return first
 
 
-def _repeats_in_bucket(count: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray, text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Intervals (row key, from, to) to remove, from the contexts of one bucket."""
+def _repeats_in_bucket(count: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray, text: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Intervals (row key, doc id, from, to) to remove, from the contexts of one bucket."""
     size = count.astype(np.int64) + length - 1
     raw, ends = text.tobytes(), np.cumsum(size)
     known: dict[bytes, int] = {}
     context = np.fromiter((known.setdefault(raw[e - s : e], len(known)) for e, s in zip(ends.tolist(), size.tolist(), strict=True)), np.int64, len(size))
     n, width = len(known), int(size.max(initial=0))
-    first = np.zeros(n, np.int64)
-    first[context[::-1]] = np.arange(len(context))[::-1]
+    of = np.zeros(n, np.int64)
+    of[context[::-1]] = np.arange(len(context))[::-1]
     least = np.full(n, _LAST)
     np.minimum.at(least, context, doc)
-    later = doc > least[context]
-    out = [(row[later], at[later], at[later] + size[later])]
     columns = max(128, -(-width // 8) * 8 + 64)
     grid = np.zeros((n, columns), np.uint8)
-    r = np.repeat(np.arange(n), size[first])
-    grid.reshape(-1)[r * columns + _ranges(np.zeros(n, np.int64), size[first])] = text[_ranges(ends[first] - size[first], size[first])]
-    marked = earlier_windows(grid, width, count[first].astype(np.int64), least, length)
-    edge = np.diff(np.pad(marked, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-    (of, lo), (_, hi) = np.nonzero(edge == 1), np.nonzero(edge == -1)
-    # Each occurrence of the context in its smallest document loses these.
-    own = np.nonzero(~later)[0]
-    own = own[np.argsort(context[own], kind="stable")]
-    begin = np.searchsorted(context[own], of, "left")
-    n_own = np.searchsorted(context[own], of, "right") - begin
-    occurrence = own[_ranges(begin, n_own)]
-    lo, hi = np.repeat(lo, n_own), np.repeat(hi, n_own)
-    out.append((row[occurrence], at[occurrence] + lo, at[occurrence] + hi + length - 1))
+    r = np.repeat(np.arange(n), size[of])
+    grid.reshape(-1)[r * columns + _ranges(np.zeros(n, np.int64), size[of])] = text[_ranges(ends[of] - size[of], size[of])]
+    first = first_documents(grid, width, count[of].astype(np.int64), least, length)
+    out = [tuple(np.zeros(0, np.int64) for _ in range(4))]
+    for lo in range(0, len(context), 1 << 15):
+        own = slice(lo, lo + (1 << 15))
+        # A window goes from each occurrence whose document isn't the first one with it.
+        edge = np.diff(np.pad(first[context[own]] < doc[own, None], ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        (k, begin), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+        start = at[own][k].astype(np.int64)
+        out.append((row[own][k], doc[own][k], start + begin, start + end + length - 1))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def repeats(dealt: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Per document bucket, blobs of (row key, from, to) to remove."""
+    """Per document bucket, blobs of (row key, doc id, from, to) to remove."""
 
     def run(rows: pa.Table) -> pa.Table:
-        row, lo, hi = _repeats_in_bucket(*_blobs(rows), length)
+        row, doc, lo, hi = _repeats_in_bucket(*_blobs(rows), length)
         give_back()
-        return _deal_table(1, np.mod(row, buckets), (row, lo, hi))
+        return _deal_table(1, np.mod(row, buckets), (row, doc, lo, hi))
 
     return dealt.groupBy("bucket").applyInArrow(run, "kind int, bucket int, blob binary")
 
@@ -412,29 +434,28 @@ def kept_bytes(text: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, int,
     return kept, int((end - begin).sum()), len(begin)
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = (), as_text: bool = False, settle: bool = True, hot: int = HOT_ENTRIES) -> DataFrame:
     """doc_id, the columns of ``keep``, n_bytes, n_removed, n_spans and kept of every document.
 
     kept is binary; ``as_text``: a string, without the characters that were cut in part, and null for null text.
     """
+    if length < _KMER:
+        raise ValueError(f"length must be {_KMER} or more")
     buckets = buckets_for(input_bytes(docs, "text"), BUCKET_BYTES)
     base = only(docs, "doc_id", "text", *keep).withColumn("row", F.xxhash64("doc_id", "text"))
     base = base.withColumn("text", F.col("text").cast("binary")).withColumn("doc_id", F.col("doc_id").cast("long"))
     lean = base.select("doc_id", "row", "text")
-    found = Written(recurring(find_anchors(lean, length, buckets), buckets), "recurring", "none")
+    found = Written(recurring(find_anchors(lean, length, buckets, settle), buckets, hot), "recurring", "none")
     marks = Written(repeats(contexts(lean, found.df, length, buckets), length, buckets), "repeats", "none")
     fields = [f for f in base.schema.fields if f.name in keep]
     kept_schema = pa.schema([("doc_id", pa.int64()), *[(f.name, _arrow(f.dataType)) for f in fields], ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.string() if as_text else pa.binary())])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        entries = _blobs(right) if right.num_rows else [np.zeros(0, np.int64)] * 3
-        order = np.argsort(entries[0], kind="stable")
-        entries = [c[order] for c in entries]
-        where, none = _per_row(entries), slice(0, 0)
-        out = []
-        for text, row in zip(left["text"].to_pylist(), left["row"].to_pylist(), strict=True):
-            s = where.get(row, none)
-            out.append((len(text or b""), *kept_bytes(text or b"", entries[1][s], entries[2][s])))
+        entries, where = _per_row(_blobs(right) if right.num_rows else [np.zeros(0, np.int64)] * 4)
+        none, out = slice(0, 0), []
+        for text, row, doc in zip(left["text"].to_pylist(), left["row"].to_pylist(), left["doc_id"].to_pylist(), strict=True):
+            s = where.get((row, _LAST if doc is None else doc), none)
+            out.append((len(text or b""), *kept_bytes(text or b"", entries[2][s], entries[3][s])))
         kept = [x[1] for x in out]
         if as_text:
             kept = [None if t is None else k.decode("utf-8", "ignore") for k, t in zip(kept, left["text"].to_pylist(), strict=True)]

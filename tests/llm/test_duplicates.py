@@ -198,6 +198,29 @@ def test_repeats_of_nothing(empty_docs):
     assert suffixes.remove_repeats(empty_docs).count() == 0
 
 
+@pytest.mark.parametrize("options", [{"settle": False}, {"hot": 0}, {"settle": False, "hot": 3}])
+def test_the_order_of_suffixes_decides_alone(docs, options):
+    """Without aggregating equal contexts beforehand, and with all or some anchors dealt by window."""
+    want = sorted(map(tuple, suffixes.remove_repeats(docs).collect()), key=repr)
+    assert sorted(map(tuple, suffixes.remove_repeats(docs, **options).collect()), key=repr) == want
+
+
+def test_nothing_goes_without_the_sort(docs, monkeypatch):
+    """What one batch of documents doesn't settle comes from the suffix order."""
+    count = np.array([1, 1, 1], np.uint8)
+    text = np.frombuffer(b"a" * 50 + b"b" * 50 + b"a" * 50, np.uint8)
+    numbers = np.array([3, 2, 9]), np.array([10, 11, 12]), np.array([0, 7, 4])
+    row, doc, lo, hi = suffixes._repeats_in_bucket(count, *numbers, text, 50)
+    assert (row.tolist(), doc.tolist(), lo.tolist(), hi.tolist()) == ([12], [9], [4], [54])
+    monkeypatch.setattr(suffixes, "two_stage_sort", lambda *_: np.zeros(0, np.int64))
+    assert not len(suffixes._repeats_in_bucket(count, *numbers, text, 50)[0])
+
+
+def test_too_short_strings_are_an_error(docs):
+    with pytest.raises(ValueError):
+        suffixes.remove_repeats(docs, 15)
+
+
 def brute_contamination(texts, items, window=10):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(t))
     windows: dict[tuple, set] = {}
