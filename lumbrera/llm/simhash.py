@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, only, slices
+from .common import Written, only, scratch_scope, slices
 from .components import connected_components
 
 SEED = 42
@@ -147,13 +147,13 @@ def link_fingerprints(fps: DataFrame, distance: int = 4, segments: int = 3, part
     flips = [[0, *(int(m) for m in hamming_ball(lead, radius)[1:])] for _ in bounds]
     code = lambda i: F.shiftrightunsigned(F.col("fp"), bounds[i][0] + bounds[i][1] - lead).bitwiseAND(F.lit((1 << lead) - 1))
     parts = F.array(*[(F.lit(i << lead) + code(i)).cast("int") for i in range(segments)])
-    counts = fps.select(F.explode(parts).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") * len(flips[0]) > probe_rows)
-    hot = {r["k"]: -(-r["n"] * len(flips[0]) // probe_rows) for r in counts.collect()}  # at most segments * 2**16
-    salts = F.create_map(*[F.lit(x).cast("int") for kv in hot.items() for x in kv])[F.col("k")] if hot else F.lit(None).cast("int")
-    salts = F.coalesce(salts, F.lit(1))
+    counts = fps.select(F.explode(parts).alias("k")).groupBy("k").agg((F.count(F.lit(1)) * len(flips[0])).alias("n"))
+    # At most segments * 2**16 rows, whatever the number of fingerprints.
+    hot = F.broadcast(Written(counts.filter(F.col("n") > probe_rows).select("k", F.ceil(F.col("n") / probe_rows).cast("int").alias("salts")), "hot-parts").df)
+    salts = F.coalesce("salts", F.lit(1))
     probes = F.array(*[(F.lit(i << lead) + code(i).bitwiseXOR(F.lit(m))).cast("int") for i in range(segments) for m in flips[i]])
-    asked = fps.select("fp", "node", F.explode(probes).alias("k")).select("k", F.pmod(F.xxhash64("fp"), salts).cast("int").alias("salt"), F.lit(False).alias("held"), "fp", "node")
-    held = fps.select("fp", "node", F.explode(parts).alias("k")).select("k", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(True).alias("held"), "fp", "node")
+    asked = fps.select("fp", "node", F.explode(probes).alias("k")).join(hot, "k", "left").select("k", F.pmod(F.xxhash64("fp"), salts).cast("int").alias("salt"), F.lit(False).alias("held"), "fp", "node")
+    held = fps.select("fp", "node", F.explode(parts).alias("k")).join(hot, "k", "left").select("k", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.lit(True).alias("held"), "fp", "node")
 
     def link(key: tuple, rows: pa.Table) -> pa.Table:
         held_ = rows["held"].to_numpy(zero_copy_only=False)
@@ -299,7 +299,7 @@ def _dealt(nodes: DataFrame, columns: list[str], segments: int, radius: int, par
     return asked.union(held), lead
 
 
-def propose_links(nodes: DataFrame, distance: int, segments: int, radius: int, part_rows: int = 200_000, probe_rows: int = 60_000) -> DataFrame:
+def propose_links(nodes: DataFrame, distance: int, segments: int, radius: int, part_rows: int = 200_000, probe_rows: int = 20_000) -> DataFrame:
     """Links (a, b) between nodes (fp, fp2, band, node) that are closest in both fingerprints, a forest per table part."""
     columns, bounds = ["fp", "fp2", "node"], segment_bounds(segments)
     dealt, lead = _dealt(nodes, columns, segments, radius, part_rows, probe_rows)
@@ -396,7 +396,7 @@ def verified_links(rows: pa.Table, pairs: Iterator[tuple[np.ndarray, np.ndarray]
     return ends[:, 0], ends[:, 1]
 
 
-def remaining_links(nodes: DataFrame, sets: DataFrame, distance: int, segments: int, radius: int, similarity: float, part_rows: int = 200_000, probe_rows: int = 60_000) -> DataFrame:
+def remaining_links(nodes: DataFrame, sets: DataFrame, distance: int, segments: int, radius: int, similarity: float, part_rows: int = 200_000, probe_rows: int = 20_000) -> DataFrame:
     """Verified links (a, b) among all proposed pairs of nodes (fp, fp2, band, size, node, joined) with different ``joined``.
 
     Nodes without such a pair stay behind before the shingles are brought in; a
@@ -502,9 +502,10 @@ def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8,
 
 def keep_one_of_each(docs: DataFrame, broadcast_rows: int = 400_000, **options: float) -> DataFrame:
     """docs without the rows whose component is named by another, and of rows equal in doc_id and text one; rows with a null doc_id stay."""
-    found = Written(similar_components(docs, **options), "components").df
-    others = found.filter("doc_id <> component_id OR text_hash <> component_hash")
-    gone = Written(others.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "gone").df
+    with scratch_scope("gone"):
+        found = Written(similar_components(docs, **options), "components").df
+        others = found.filter("doc_id <> component_id OR text_hash <> component_hash")
+        gone = Written(others.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "gone").df
+        again = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
     kept = docs.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, _same_row(docs), "left_anti")
-    again = found.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
     return kept.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).union(kept.filter("doc_id IS NULL")) if again else kept

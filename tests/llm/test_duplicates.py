@@ -95,6 +95,22 @@ def test_components_of_a_long_chain(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_hub(spark):
+    hub = spark.range(1, 200).selectExpr("id AS a", "IF(id < 150, 500, 501) AS b").union(spark.sql("SELECT 7L, 501L"))
+    found = {r["node"]: r["component"] for r in connected_components(hub.selectExpr("a", "CAST(b AS LONG) AS b"), hot_links=20).collect()}
+    assert found == dict.fromkeys([*range(1, 200), 500, 501], 1)
+
+
+def test_hot_parts_are_dealt_over_salts(spark):
+    rng = np.random.default_rng(3)
+    base = int(rng.integers(0, 1 << 62))
+    fps = sorted({base ^ sum(1 << int(b) for b in rng.choice(62, 3, replace=False)) for _ in range(300)})
+    nodes = spark.createDataFrame(list(zip(fps, range(len(fps)), strict=True)), "fp long, node long")
+    found = {r["node"]: r["component"] for r in connected_components(simhash.link_fingerprints(nodes, part_rows=50, probe_rows=40)).collect()}
+    want = brute_components(len(fps), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 4)
+    assert [found.get(i, i) for i in range(len(fps))] == want
+
+
 def test_one_of_each_near_copy_stays(docs, texts):
     kept = [r["doc_id"] for r in simhash.keep_one_of_each(docs).select("doc_id").collect()]
     assert sorted(kept) == sorted(set(texts) - {1, 2, 6, 7})  # 0, 1 and 2 have no words; 5, 6 and 7 are near copies
