@@ -63,7 +63,7 @@ def scratch_scope(*keep: str) -> Iterator[None]:
     try:
         yield
     finally:
-        _scopes.remove(held)
+        _scopes.pop()
         for spark, path in held:
             if not path.rpartition("/")[2].startswith(tuple(f"{k}-" for k in keep)):
                 delete_path(spark, path)
