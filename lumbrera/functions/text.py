@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -12,27 +13,43 @@ from pyspark.sql import functions as F
 
 @lru_cache(maxsize=1)
 def _folds() -> tuple[str, str, dict[str, str]]:
-    """Letters whose compatibility decomposition has ASCII: (from, to) of those with one, and those with more."""
+    """Characters whose compatibility decomposition has ASCII: (from, to) of those with one, and those with more."""
     single, multi = {}, {}
-    for point in [*range(0x80, 0x250), *range(0x1E00, 0x1F00), *range(0x2070, 0x20A0), *range(0x2100, 0x2190), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]:
-        ascii_ = unicodedata.normalize("NFKD", chr(point).lower()).encode("ascii", "ignore").decode()
-        if len(ascii_) == 1:
-            single[chr(point)] = ascii_
-        elif ascii_:
-            multi[chr(point)] = ascii_
+    for point in range(0x80, sys.maxunicode + 1):
+        # Most planes have none; surrogates are no characters.
+        if unicodedata.decomposition(chr(point)) and (ascii_ := unicodedata.normalize("NFKD", chr(point)).lower().encode("ascii", "ignore").decode()):
+            (single if len(ascii_) == 1 else multi)[chr(point)] = ascii_
     return "".join(single), "".join(single.values()), multi
 
 
+def _ranges(letters: Iterable[str]) -> str:
+    """A character class of the letters, runs as ranges."""
+    out: list[list[int]] = []
+    for point in sorted(map(ord, letters)):
+        if out and point == out[-1][1] + 1:
+            out[-1][1] = point
+        else:
+            out.append([point, point])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
+
+
+@lru_cache(maxsize=1)
+def _special() -> str:
+    return _ranges(_folds()[2])
+
+
 def normalize(text: Column) -> Column:
-    """Lower case without accents; other non-ASCII characters vanish, runs of anything but letters and digits are one space; null is ''."""
+    """Lower case without accents; other non-ASCII characters vanish, runs of anything but letters and digits are one space; null is ''.
+
+    Texts with a character that stands for several letters are taken apart letter by letter, all others are translated.
+    """
     source, target, multi = _folds()
     lowered = F.lower(F.coalesce(text, F.lit("")))
     ascii_only = F.octet_length(lowered) == F.char_length(lowered)
-    expanded = lowered
-    for letter, letters in multi.items():
-        expanded = F.replace(expanded, F.lit(letter), F.lit(letters))
-    special = "[" + "".join(multi) + "]"
-    folded = F.regexp_replace(F.translate(F.when(lowered.rlike(special), expanded).otherwise(lowered), source, target), r"[^\x00-\x7F]", "")
+    letters = "".join(multi)
+    known = F.split(F.lit("\x1f".join(multi.values())), "\x1f")
+    expanded = F.array_join(F.transform(F.split(lowered, ""), lambda c: F.when(c.rlike(_special()), F.get(known, F.instr(F.lit(letters), c) - 1)).otherwise(c)), "")
+    folded = F.regexp_replace(F.translate(F.when(lowered.rlike(_special()), expanded).otherwise(lowered), source, target), r"[^\x00-\x7F]", "")
     return F.trim(F.regexp_replace(F.when(ascii_only, lowered).otherwise(folded), "[^a-z0-9]+", " "))
 
 

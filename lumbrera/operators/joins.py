@@ -96,6 +96,14 @@ def two_registries(facts: DataFrame, first: DataFrame, first_keys: Sequence[str]
     return b.withColumn("registry", kind).drop("__1", "__2")
 
 
+def one_registry(facts: DataFrame, first: DataFrame, first_keys: Sequence[str], second: DataFrame, second_keys: Sequence[str]) -> DataFrame:
+    """As ``two_registries``; a fact that both registries know is an error."""
+    rows = two_registries(facts, first, first_keys, second, second_keys)
+    if (bad := rows.filter("registry = 'contradiction'").first()) is not None:
+        raise CardinalityError(f"both registries know {bad.asDict()}")
+    return rows
+
+
 def orphans(child: DataFrame, child_keys: Sequence[str], parent: DataFrame, parent_keys: Sequence[str]) -> DataFrame:
     """Child rows with complete keys that have no parent."""
     known = parent.select(*[F.col(p).alias(c) for p, c in zip(parent_keys, child_keys, strict=True)]).distinct()

@@ -82,20 +82,25 @@ def dates_in_text(t: Tables) -> DataFrame:
     return rows.select("o_orderkey", F.array_join(F.transform(titles.dates(F.col("told")), lambda d: d.cast("string")), ",").alias("found"), titles.has_earlier_date(F.col("told"), F.lit("1998-01-01").cast("date")).alias("earlier"))
 
 
-@query("SELECT conv_id, turn, true AS supported FROM conversations WHERE length(text) >= 60 UNION ALL SELECT conv_id, turn, false FROM conversations WHERE length(text) < 60")
+_TOLD = "lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
+
+
+@query(f"""
+SELECT conv_id, turn, coalesce(before <> '' AND contains(told, before), false) AS supported
+FROM (SELECT conv_id, turn, {_TOLD} AS told, lag({_TOLD}) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)""")
 def evidence_supported(t: Tables) -> DataFrame:
-    quoted = F.concat(F.substring("text", 1, 15), F.lit("  [...] "), F.substring("text", 30, 20))
-    evidence = F.when(F.length("text") >= 60, quoted).otherwise(F.concat("text", F.lit(" [...] never said")))
-    return t.conversations.select("conv_id", "turn", X.evidence_supported(evidence, F.col("text")).alias("supported"))
+    """The turn before, in capitals and over several lines, as evidence of each turn."""
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    rows = t.conversations.withColumn("evidence", F.replace(F.upper(before), F.lit(" "), F.lit("\n ")))
+    return rows.select("conv_id", "turn", X.evidence_supported(F.col("evidence"), F.col("text")).alias("supported"))
 
 
-@query("SELECT doc_id, least(n_chars, 1000 + 3 * (doc_id % 7)) AS n FROM documents WHERE n_chars > 1100")
+@query("""
+SELECT doc_id, CASE WHEN length(text) >= 1000 THEN rtrim(text, ' ') ELSE text || chr(10) || 'ANEXO de bienes ' || text END AS kept FROM documents WHERE text IS NOT NULL""")
 def annex_cut(t: Tables) -> DataFrame:
-    keep = F.lit(1000) + 3 * (F.col("doc_id") % 7)
-    body = F.rpad(F.regexp_replace("text", "(?s).", "x"), 1021, "x")
-    marked = F.concat(F.substr(body, F.lit(1), keep.cast("int")), F.lit("\nANEXO de bienes"))
-    cut = X.cut_after(marked, r"\nANEXO", 1000)
-    return t.documents.filter("n_chars > 1100").select("doc_id", F.length(cut).cast("bigint").alias("n"))
+    """Every text with an annex after it, which counts from 1000 characters on."""
+    marked = F.concat("text", F.lit("\nANEXO de bienes "), F.col("text"))
+    return t.documents.filter("text IS NOT NULL").select("doc_id", X.cut_after(marked, r"\nANEXO", 1000).alias("kept"))
 
 
 @query("SELECT p_partkey, " + _case("p_partkey", "facts", "grounds", "operative", "pre_operative", "body") + " AS section FROM part")
@@ -153,7 +158,7 @@ def verified_corrections(t: Tables) -> DataFrame:
     return K.verified(rows.filter("p_partkey % 3 = 0"), rows, "p_partkey", ["p_size"])
 
 
-def _extractions(t: Tables) -> DataFrame:
+def extractions(t: Tables) -> DataFrame:
     """A nested document per conversation: an event per turn, one asset each, and an action on the event."""
     ref, none = F.lit("generation_asset_1"), F.array().cast("array<string>")
     asset = F.struct(ref.alias("local_generation_asset_ref"), F.array("role", F.lit("x")).alias("names_raw"), F.lit("eolica").alias("generation_type"), F.col("text").alias("evidence"))
@@ -168,13 +173,13 @@ _PLACED = "(SELECT 'D' || conv_id || '_event_' || row_number() OVER (PARTITION B
 
 @query(f"SELECT event_id, event_id || '_generation_asset_1' AS asset_id, CAST(n AS INT) AS name_index, CASE n WHEN 1 THEN role ELSE 'x' END AS name_raw FROM {_PLACED}, (VALUES (1), (2)) v(n)")
 def silver_names(t: Tables) -> DataFrame:
-    names = silver.flatten(silver.parse(_extractions(t), "j"))["generation_asset_names"]
+    names = silver.flatten(silver.parse(extractions(t), "j"))["generation_asset_names"]
     return names.select("event_id", F.col("generation_asset_mention_id").alias("asset_id"), "name_index", "name_raw")
 
 
 @query(f"SELECT event_id, event_id || '_action_1' AS action_id, target_kind, CASE target_kind WHEN 'event' THEN event_id ELSE event_id || '_generation_asset_1' END AS target FROM {_PLACED}, (VALUES ('event'), ('generation_asset')) v(target_kind)")
 def silver_targets(t: Tables) -> DataFrame:
-    rows = silver.flatten(silver.parse(_extractions(t), "j"))["administrative_action_targets"]
+    rows = silver.flatten(silver.parse(extractions(t), "j"))["administrative_action_targets"]
     return rows.select("event_id", F.col("administrative_action_id").alias("action_id"), "target_kind", F.col("target_entity_id").alias("target"))
 
 

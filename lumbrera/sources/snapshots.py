@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.contracts import TableSpec, violations
 from ..operators.sets import semantic_hash
@@ -53,3 +55,19 @@ def read(spark: SparkSession, path: str, specs: list[TableSpec] | None = None) -
     if specs and not (found := violations(tables, specs).filter("n > 0")).isEmpty():
         raise SnapshotError(f"{path} breaks its contract: {found.first().asDict()}")
     return tables
+
+
+def differences(stored: DataFrame, recomputed: DataFrame) -> DataFrame:
+    """Rows of one table only, as often as they are more there, with the side that has them."""
+    same = recomputed.select(*stored.columns)
+    return stored.exceptAll(same).withColumn("side", F.lit("stored")).unionByName(same.exceptAll(stored).withColumn("side", F.lit("recomputed")))
+
+
+def read_recomputed(spark: SparkSession, path: str, derived: dict[str, Callable[[dict[str, DataFrame]], DataFrame]], specs: list[TableSpec] | None = None) -> dict[str, DataFrame]:
+    """The tables of a checked snapshot, after computing each derived one again from the others and comparing."""
+    tables = read(spark, path, specs)
+    for name, compute in derived.items():
+        again = compute(tables)
+        if sorted(again.columns) != sorted(tables[name].columns) or not differences(tables[name], again).isEmpty():
+            raise SnapshotError(f"{name} in {path} isn't what its sources give")
+    return tables
