@@ -58,17 +58,19 @@ def stratified_sample(df: DataFrame, strata: Sequence[str], key: str, quota: int
 def round_robin(df: DataFrame, strata: Sequence[str], key: str, n: int) -> DataFrame:
     """First of every stratum, then every second, and so on: the first n rows."""
     turn = F.row_number().over(Window.partitionBy(*strata).orderBy(key))
-    return df.withColumn("turn", turn).orderBy("turn", *strata).limit(n)
+    # No stratum gives more than n rows, which each task can tell before the shuffle.
+    return df.withColumn("turn", turn).filter(F.col("turn") <= n).orderBy("turn", *strata).limit(n)
 
 
-def hash_batches(df: DataFrame, key: str, size: int, seed: str, slots: int = 256) -> DataFrame:
+def hash_batches(df: DataFrame, key: str, size: int, seed: str, slots: int | None = None, slot_rows: int = 100_000) -> DataFrame:
     """Batches of ``size`` rows in the order of the hash of seed and key.
 
-    Ranked within slots of the hash's range; the slots' sizes are summed apart,
-    so no task orders the whole table.
+    Ranked within slots of the hash's range, of about ``slot_rows`` rows each;
+    the slots' sizes are summed apart, so no task orders the whole table.
     """
+    slots = slots or max(1, min(1 << 20, -(-df.count() // slot_rows)))
     hashed = df.withColumn("batch_hash", F.sha2(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")), 256))
-    hashed = hashed.withColumn("__slot", F.floor(F.conv(F.substring("batch_hash", 1, 4), 16, 10).cast("int") * slots / 65536).cast("int"))
+    hashed = hashed.withColumn("__slot", F.shiftright(F.conv(F.substring("batch_hash", 1, 8), 16, 10).cast("long") * slots, 32).cast("int"))
     before = Window.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = hashed.groupBy("__slot").agg(F.count(F.lit(1)).alias("n")).select("__slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
     rank = F.row_number().over(Window.partitionBy("__slot").orderBy("batch_hash", key)) + F.col("__before")

@@ -56,6 +56,35 @@ def resolve_places(mentions: DataFrame, key: str, child: str, parent: str, child
     return both.select(key, "child_code", parent_code.alias("parent_code"), "child_status", "parent_status", status.alias("status"), level.alias("level"))
 
 
+def resolve_hierarchy(mentions: DataFrame, key: str, municipalities: DataFrame, provinces: DataFrame, communities: DataFrame, stop: Sequence[str] = ()) -> DataFrame:
+    """Three levels (columns municipality, province and community of the mentions), each unit with code, parent and names.
+
+    Every level is resolved apart, with what the level above resolved to as a hint among several candidates; then the
+    lowest resolved unit rules those above it. A stated level that resolved to another unit is a conflict.
+    """
+    above = resolve_places(mentions, key, "province", "community", provinces, communities, stop)
+    above = above.select(key, F.col("child_code").alias("__province"), F.col("parent_code").alias("__community"), F.col("child_status").alias("province_status"), F.col("parent_status").alias("community_status"), F.col("status").alias("__status"))
+    hinted = mentions.select(key, "municipality").join(above.select(key, F.col("__province").alias("__hint")), key)
+    below = resolve_level(hinted, key, "municipality", municipalities, stop=stop, hint="__hint")
+    below = below.select(key, F.col("code").alias("municipality_code"), F.col("status").alias("municipality_status"))
+    of_province = provinces.select(F.col("code").alias("__own"), F.col("parent").alias("__own_community")).distinct()
+    of_town = municipalities.select(F.col("code").alias("municipality_code"), F.col("parent").alias("__own")).distinct()
+    both = above.join(below, key).join(of_town, "municipality_code", "left").join(of_province, "__own", "left")
+    apart = lambda own, told: own.isNotNull() & told.isNotNull() & (own != told)
+    conflict = (F.col("__status") == "conflict") | apart(F.col("__own"), F.col("__province")) | apart(F.col("__own_community"), F.col("__community"))
+    province, community = F.coalesce("__own", "__province"), F.coalesce("__own_community", "__community")
+    states = [F.col(f"{level}_status") for level in ("municipality", "province", "community")]
+    anywhere = lambda value: F.array_contains(F.array(*states), value)
+    status = (
+        F.when(conflict, "conflict").when(anywhere("ambiguous"), "ambiguous").when(community.isNotNull() | province.isNotNull(), "resolved")
+        .when(~anywhere("not_found"), "not_provided").otherwise("not_found")
+    )
+    level = F.when(F.col("municipality_code").isNotNull(), "municipality").when(province.isNotNull(), "province").when(community.isNotNull(), "autonomous_community")
+    return both.select(
+        key, "municipality_code", province.alias("province_code"), community.alias("community_code"), "municipality_status", "province_status", "community_status", status.alias("status"), level.alias("level")
+    )
+
+
 def geography_anchor(places: DataFrame, key: str) -> DataFrame:
     """Per key the sorted resolved child codes, else parent codes, else ``unresolved``."""
     codes = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(F.col("status") == "resolved", F.col(c)))), ",")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize
 
 
-def _usable(phrase: Column, generic: Sequence[str]) -> Column:
+def usable(phrase: Column, generic: Sequence[str]) -> Column:
     """Whether some word that isn't generic has four letters or more."""
     return F.exists(F.split(phrase, " "), lambda w: ~w.isin(*generic, "") & w.rlike("^[a-z]{4,}$"))
 
@@ -26,7 +26,7 @@ def phrase_matches(queries: DataFrame, query: str, phrase: str, docs: DataFrame,
 
     A phrase is looked for only in documents that hold its rarest word.
     """
-    asked = queries.select(F.col(query).alias("query"), normalize(F.col(phrase)).alias("p")).filter("p <> ''").filter(_usable(F.col("p"), generic) if generic else F.lit(True)).distinct()
+    asked = queries.select(F.col(query).alias("query"), normalize(F.col(phrase)).alias("p")).filter("p <> ''").filter(usable(F.col("p"), generic) if generic else F.lit(True)).distinct()
     terms = asked.select("p", F.explode(F.split("p", " ")).alias("term")).distinct()
     corpus = docs.select(F.col(doc).alias("doc"), normalize(F.col(text)).alias("n"))
     index = corpus.select("doc", F.explode(F.array_distinct(F.split("n", " "))).alias("term"))

@@ -5,17 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import joins as J
+from ..functions.text import normalize
 from ..operators import matching as M
 from ..operators import spans as S
 
 
 def match_assets(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     """doc, truth, predicted: forced pairs among assets of a document that share a name (``names`` arrays)."""
-    doc_key = lambda df, k: df.select(F.concat_ws("/", "doc", "id").alias(k), "names")
-    pairs = J.alias_overlap(doc_key(truth, "t"), "t", "names", doc_key(predicted, "p"), "p", "names")
-    doc, rest = (lambda c: F.substring_index(c, "/", 1)), (lambda c: F.substring_index(c, "/", -1))
-    own = pairs.filter(doc(F.col("t")) == doc(F.col("p"))).select(doc(F.col("t")).alias("doc"), rest(F.col("t")).alias("truth"), rest(F.col("p")).alias("predicted"))
+    named = lambda df, k: df.select("doc", F.col("id").alias(k), F.explode("names").alias("__raw")).select("doc", k, normalize(F.col("__raw")).alias("name")).filter("name <> ''")
+    own = named(truth, "truth").join(named(predicted, "predicted"), ["doc", "name"]).select("doc", "truth", "predicted").distinct()
     return M.match_forced(own, "doc", "truth", "predicted").filter("status = 'forced'").drop("status")
 
 

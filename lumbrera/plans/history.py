@@ -11,9 +11,10 @@ from ..operators import retrieve as V
 
 # Words that identify no project, and what marks a technology in a normalised text.
 GENERIC = (
-    "solar solares eolico eolica eolicos eolicas fotovoltaico fotovoltaica fotovoltaicos fotovoltaicas parque parques planta plantas proyecto proyectos"
-    " central centrales instalacion instalaciones generacion fase modulo modulos fv pfv psfv pe peol de del la las el los y en"
-).split()
+    "solar", "solares", "eolico", "eolica", "eolicos", "eolicas", "fotovoltaico", "fotovoltaica", "fotovoltaicos", "fotovoltaicas", "parque",
+    "parques", "planta", "plantas", "proyecto", "proyectos", "central", "centrales", "instalacion", "instalaciones", "generacion", "fase", "modulo",
+    "modulos", "fv", "pfv", "psfv", "pe", "peol", "de", "del", "la", "las", "el", "los", "y", "en",
+)
 MARKERS = {
     "fotovoltaica": ("fotovolta", " planta solar ", " psfv ", " pfv ", " fv "),
     "eolica": ("eolic", " aerogenerador", " parque eolico ", " pe "),
@@ -32,7 +33,7 @@ def signatures(mentions: DataFrame) -> DataFrame:
     return rows.withColumn("signature", F.to_json(F.struct("aliases", "locations", "technologies")))
 
 
-def _marked(docs: DataFrame) -> DataFrame:
+def marked(docs: DataFrame) -> DataFrame:
     """doc_id, technology: technologies whose marker the text has."""
     text = F.concat(F.lit(" "), normalize(F.col("text")), F.lit(" "))
     found = [F.when(F.greatest(*[F.contains(text, F.lit(m)) for m in marks]) if len(marks) > 1 else F.contains(text, F.lit(marks[0])), F.lit(t)) for t, marks in MARKERS.items()]
@@ -53,11 +54,14 @@ def candidates(signed: DataFrame, docs: DataFrame) -> DataFrame:
     rare_name = F.filter(F.split("alias", " "), lambda w: ~w.isin(*GENERIC, ""))
     single = alias.filter(F.size(rare_name) == 1).select("project_id", F.get(rare_name, F.lit(0)).alias("word")).filter(F.length("word") >= 7)
     rare = V.phrase_matches(single, "project_id", "word", docs, "doc_id", "text", floor=3, share=0.0).select(F.col("query").alias("project_id"), F.col("doc").alias("doc_id"))
-    by_technology = signed.select("project_id", F.explode("technologies").alias("technology")).join(_marked(docs), "technology").select("project_id", "doc_id")
+    met = words.unionByName(rare).distinct()
+    # Only pairs that the words met are held against technologies, which are few and shared by most.
+    own = met.join(signed.select("project_id", F.explode("technologies").alias("technology")), "project_id")
+    by_technology = own.join(marked(docs.join(met.select("doc_id").distinct(), "doc_id", "left_semi")), ["doc_id", "technology"], "left_semi").select("project_id", "doc_id")
     places = signed.select("project_id", F.explode("locations").alias("place"))
     by_place = V.phrase_matches(places, "project_id", "place", docs, "doc_id", "text", floor=1 << 30).select(F.col("query").alias("project_id"), F.col("doc").alias("doc_id"))
     backed = by_technology.unionByName(by_place).distinct()
-    second = words.unionByName(rare).distinct().join(backed, ["project_id", "doc_id"], "left_semi").select(F.col("project_id").alias("query"), F.col("doc_id").alias("doc"))
+    second = met.join(backed, ["project_id", "doc_id"], "left_semi").select(F.col("project_id").alias("query"), F.col("doc_id").alias("doc"))
     return V.two_tiers(first, second).select(F.col("query").alias("project_id"), F.col("doc").alias("doc_id"), "tier")
 
 

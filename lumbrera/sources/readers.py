@@ -52,19 +52,40 @@ def json_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path).withColumn("file", F.input_file_name())
 
 
+_BLOCKS = frozenset(("p", "div", "tr", "table", "li", "br", "h1", "h2", "h3", "h4", "h5", "h6"))
+
+
+def _xml_text(node) -> str:  # noqa: ANN001
+    """Text in document order: block ends are line breaks, cells are set off by bars."""
+    tag = node.tag.lower() if isinstance(node.tag, str) else ""
+    own = (node.text or "") if tag else ""  # comments have none
+    inner = own + "".join(_xml_text(child) + (child.tail or "") for child in node)
+    if tag in ("td", "th"):
+        return f"{inner} | "
+    return f"\n{inner}\n" if tag in _BLOCKS else inner
+
+
+@F.pandas_udf(T.StructType([T.StructField("id", T.StringType()), T.StructField("day", T.DateType()), T.StructField("title", T.StringType()), T.StructField("body", T.StringType())]))
+def _parsed_xml(contents: pd.Series) -> pd.DataFrame:
+    from datetime import datetime
+    from xml.etree import ElementTree
+
+    rows = []
+    for content in contents:
+        root = ElementTree.fromstring(bytes(content))  # noqa: S314  no entities are resolved
+        one = lambda tag, root=root: (root.findtext(f".//{tag}") or "").strip()
+        texts = list(root.iter("texto"))
+        day = one("fecha_publicacion")
+        rows.append((one("identificador"), datetime.strptime(day, "%Y%m%d").date() if day else None, one("titulo"), _xml_text(texts[0]) if texts else ""))  # noqa: DTZ007
+    return pd.DataFrame(rows, columns=["id", "day", "title", "body"])
+
+
 def xml_documents(spark: SparkSession, path: str) -> DataFrame:
-    """file, id, day, title and text of XML documents: block ends are line breaks, cells are set off by bars."""
-    raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("xml"), F.sha2("content", 256).alias("sha256"), "length")
-    body = F.regexp_extract("xml", r"(?s)<texto>(.*?)</texto>", 1)
-    cells = F.regexp_replace(body, r"(?i)</t[dh]>", " | ")
-    lines = F.regexp_replace(cells, r"(?i)</?(p|div|tr|table|li|h\d|br)\b[^>]*>", "\n")
-    plain = F.regexp_replace(lines, "<[^>]*>", "")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    """file, id, day, title, text, sha256 and length of XML documents: block ends are line breaks, cells are set off by bars."""
     from ..functions.text import clean
 
-    one = lambda tag: F.trim(F.regexp_extract("xml", rf"(?s)<{tag}>(.*?)</{tag}>", 1))
-    return raw.select("file", one("identificador").alias("id"), F.to_date(one("fecha_publicacion"), "yyyyMMdd").alias("day"), one("titulo").alias("title"), clean(plain, keep_lines=True).alias("text"), "sha256", "length")
+    raw = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), _parsed_xml(F.col("content")).alias("x"), F.sha2("content", 256).alias("sha256"), "length")
+    return raw.select("file", "x.id", "x.day", "x.title", clean(F.col("x.body"), keep_lines=True).alias("text"), "sha256", "length")
 
 
 def _objects(value: Column, path: str) -> Column:

@@ -10,7 +10,7 @@ import os
 import duckdb
 import pytest
 
-from lumbrera.plans import audit, catalog, documents, events, registry  # noqa: F401
+from lumbrera.plans import audit, catalog, documents, events, library, registry  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
