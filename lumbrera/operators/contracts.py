@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,29 +59,45 @@ def add_missing(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*known, *[c for c in df.columns if c not in schema.names])
 
 
-def _report(table: str, check: str, violations: DataFrame, columns: Sequence[str], samples: int) -> DataFrame:
-    shown = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns])
-    least = F.array_sort(F.collect_set("__shown"))
-    top = violations.select(shown.alias("__shown")).groupBy("__shown").agg(F.count(F.lit(1)).alias("__n"))
-    first = top.orderBy("__shown").limit(samples).agg(F.array_join(least, ";").alias("samples"))
-    return top.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("n")).join(first).select(F.lit(table).alias("table_name"), F.lit(check).alias("check_name"), F.col("n"), "samples")
+def _shown(columns: Sequence[str]) -> Column:
+    return F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns])
+
+
+def _found(table: str, df: DataFrame, checks: dict[str, tuple[Column, Sequence[str]]]) -> DataFrame:
+    """table_name, check_name and shown of every row that fails a check: one pass over the table for all of them."""
+    failed = F.array(*[F.when(bad, F.struct(F.lit(name).alias("check_name"), _shown(columns).alias("shown"))) for name, (bad, columns) in checks.items()])
+    return df.select(F.lit(table).alias("table_name"), F.explode(F.array_compact(failed)).alias("f")).select("table_name", "f.*")
 
 
 def violations(tables: dict[str, DataFrame], specs: Sequence[TableSpec], samples: int = 5) -> DataFrame:
-    """table_name, check_name, n, samples (the first few) of every check of the specs, passed ones with n = 0."""
-    found = []
+    """table_name, check_name, n, samples (the first few) of every check of the specs, passed ones with n = 0.
+
+    Nulls and domains of a table are checked in one pass, keys and references in one each; all are counted together.
+    """
+    found, names = [], []
     for spec in specs:
-        df = tables[spec.name]
+        df, rows = tables[spec.name], {}
         for c in spec.nulls():
-            found.append(_report(spec.name, f"null:{c}", df.filter(F.col(c).isNull()), spec.key, samples))
-        found.append(_report(spec.name, f"key:{','.join(spec.key)}", duplicate_keys(df, spec.key), spec.key, samples))
+            rows[f"null:{c}"] = (F.col(c).isNull(), spec.key)
         for c, values in spec.domains.items():
-            found.append(_report(spec.name, f"domain:{c}", df.filter(F.col(c).isNotNull() & ~F.col(c).isin(list(values))), (c,), samples))
+            rows[f"domain:{c}"] = (F.col(c).isNotNull() & ~F.col(c).isin(list(values)), (c,))
+        if rows:
+            found.append(_found(spec.name, df, rows))
+        whole = {f"key:{','.join(spec.key)}": (duplicate_keys(df, spec.key), spec.key)}
         for fk in spec.references:
             child = df if fk.kind is None else df.filter(F.col(fk.kind) == fk.value)
             name = f"reference:{','.join(fk.columns)}->{fk.parent}" + (f":{fk.value}" if fk.kind else "")
-            found.append(_report(spec.name, name, orphans(child, fk.columns, tables[fk.parent], fk.parent_columns), fk.columns, samples))
-    return reduce(DataFrame.unionByName, found)
+            whole[name] = (orphans(child, fk.columns, tables[fk.parent], fk.parent_columns), fk.columns)
+        found += [bad.select(F.lit(spec.name).alias("table_name"), F.lit(name).alias("check_name"), _shown(columns).alias("shown")) for name, (bad, columns) in whole.items()]
+        names += [(spec.name, name) for name in (*rows, *whole)]
+    counts = reduce(DataFrame.unionByName, found).groupBy("table_name", "check_name", "shown").agg(F.count(F.lit(1)).alias("n"))
+    first = Window.partitionBy("table_name", "check_name").orderBy("shown")
+    ranked = counts.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= samples)
+    tops = ranked.groupBy("table_name", "check_name").agg(F.array_join(F.array_sort(F.collect_list("shown")), ";").alias("samples"))
+    sums = counts.groupBy("table_name", "check_name").agg(F.sum("n").alias("n"))
+    checks = next(iter(tables.values())).sparkSession.createDataFrame(names, "table_name string, check_name string")
+    every = checks.join(sums.join(tops, ["table_name", "check_name"]), ["table_name", "check_name"], "left")
+    return every.select("table_name", "check_name", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("samples", F.lit("")).alias("samples"))
 
 
 def all_of(*checks: Column) -> Column:

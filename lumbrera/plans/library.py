@@ -243,7 +243,7 @@ def shortest_units(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", S.shortest_unit(F.split(F.concat_ws(" ", "p_type", "p_name"), " "), F.array(F.lit("E"))).alias("unit"))
 
 
-@query("SELECT doc_id, len(list_distinct(list_filter(list_concat(['t'], string_split(text, chr(10))), lambda x: trim(x, ' ') <> ''))) AS n FROM (SELECT doc_id, regexp_replace(text, '[.;]', '', 'g') AS text FROM documents WHERE text IS NOT NULL)")
+@query("SELECT doc_id, len(list_distinct(list_filter(list_transform(list_concat(['t'], string_split(text, chr(10))), lambda x: trim(x, ' ')), lambda x: x <> ''))) AS n FROM (SELECT doc_id, regexp_replace(text, '[.;]', '', 'g') AS text FROM documents WHERE text IS NOT NULL)")
 def source_units(t: Tables) -> DataFrame:
     """Titles and lines of texts without full stops: a line is its own sentence."""
     rows = t.documents.filter("text IS NOT NULL").withColumn("text", F.regexp_replace("text", "[.;]", ""))
