@@ -278,7 +278,7 @@ def test_contamination_of_and_by_nothing(spark, docs, empty_docs):
 def test_proximity_in_any_order(spark):
     docs = spark.createDataFrame([(1, "alpha x beta y gamma"), (2, "gamma beta alpha"), (3, "alpha " + "pad " * 30 + "beta gamma")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "alpha beta gamma")], "item_id long, text string")
-    found = decontaminate.proximity_matches(decontaminate.PositionalIndex(docs, items), terms=3, span=6).collect()
+    found = decontaminate.proximity_matches(decontaminate.Lookup(decontaminate.PositionalIndex(docs), items), terms=3, span=6).collect()
     assert sorted({r["doc_id"] for r in found}) == [1, 2]
 
 
