@@ -42,6 +42,8 @@ _KMER = 16
 _MULT = np.uint64(6364136223846793005)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LAST = np.iinfo(np.int64).max
+#: Row keys are 40 bits of a hash: with the doc_id they tell rows apart, and only those of one doc_id need telling apart.
+_ROW_SHIFT = 24
 #: Text bytes per target of the dealt work.
 BUCKET_BYTES = 3 << 20
 #: Anchors with more entries than this are dealt by window.
@@ -56,7 +58,7 @@ def pack_arrays(*arrays: np.ndarray) -> bytes:
         code = a.dtype.str.encode()
         parts.append(struct.pack("<B", len(code)) + code + struct.pack("<q", len(a)))
         parts.append(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
 
 
 def unpack_arrays(blob: bytes) -> list[np.ndarray]:
@@ -442,7 +444,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, keep: tuple[str, ...] = ()
     if length < _KMER:
         raise ValueError(f"length must be {_KMER} or more")
     buckets = buckets_for(input_bytes(docs, "text"), BUCKET_BYTES)
-    base = only(docs, "doc_id", "text", *keep).withColumn("row", F.xxhash64("doc_id", "text"))
+    base = only(docs, "doc_id", "text", *keep).withColumn("row", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), _ROW_SHIFT))
     base = base.withColumn("text", F.col("text").cast("binary")).withColumn("doc_id", F.col("doc_id").cast("long"))
     lean = base.select("doc_id", "row", "text")
     found = Written(recurring(find_anchors(lean, length, buckets, settle), buckets, hot), "recurring", "none")
