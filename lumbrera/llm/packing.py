@@ -122,7 +122,7 @@ def plan_packing(histogram: dict[int, int], capacity: int, rounds: int = 80, ste
     plan: dict[tuple, int] = defaultdict(int)
     for _ in range(passes):
         open_ = np.nonzero(demand)[0]
-        if not len(open_) or demand.sum() < 4 * len(open_):
+        if not len(open_):
             break
         x = solve_fractional(lengths[open_], demand[open_].astype(float), capacity, rounds, step)
         before = demand.sum()
