@@ -113,7 +113,7 @@ def identity_name(name: Column) -> Column:
     def fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for names in batches:
             known = {n: _identity(n) for n in names.dropna().unique()}
-            yield names.map(known)
+            yield pd.Series([known.get(n) for n in names], dtype=object)
 
     return fold(name)
 
@@ -123,7 +123,7 @@ def evidence_text(text: Column) -> Column:
 
     @F.pandas_udf("string")
     def fold(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: " ".join(unicodedata.normalize("NFKC", x).casefold().split()), na_action="ignore")
+        return pd.Series([None if pd.isna(x) else " ".join(unicodedata.normalize("NFKC", x).casefold().split()) for x in texts], dtype=object)
 
     return fold(text)
 
@@ -184,7 +184,7 @@ def table_names(text: Column, header: str, second: str, context: str, row: str,
 
     @F.pandas_udf("array<string>")
     def find(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda x: _table_names(x or "", header, second, context, row, width))
+        return pd.Series([_table_names(x or "", header, second, context, row, width) for x in texts], dtype=object)
 
     return find(text)
 
