@@ -82,12 +82,12 @@ def dates_in_text(t: Tables) -> DataFrame:
     return rows.select("o_orderkey", F.array_join(F.transform(titles.dates(F.col("told")), lambda d: d.cast("string")), ",").alias("found"), titles.has_earlier_date(F.col("told"), F.lit("1998-01-01").cast("date")).alias("earlier"))
 
 
-_TOLD = "lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
+_SAID = "lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))"
 
 
 @query(f"""
 SELECT conv_id, turn, coalesce(before <> '' AND contains(told, before), false) AS supported
-FROM (SELECT conv_id, turn, {_TOLD} AS told, lag({_TOLD}) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)""")
+FROM (SELECT conv_id, turn, {_SAID} AS told, lag({_SAID}) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)""")
 def evidence_supported(t: Tables) -> DataFrame:
     """The turn before, in capitals and over several lines, as evidence of each turn."""
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
