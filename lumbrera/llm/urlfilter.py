@@ -1,8 +1,9 @@
 """URL filter: a weighted vocabulary found by Aho-Corasick, and allow and block rules by host and path.
 
 A term counts only between boundaries (no ASCII letter or digit beside it, in
-the lower-cased URL). One strict term or ``least_soft`` distinct soft terms
-block a URL. A rule for a host and a path prefix decides before the vocabulary;
+the lower-cased URL). A term of weight 1 or more is strict: one blocks a URL.
+Others are soft: several distinct ones whose weights sum to 1 block it. The
+production list gives soft terms 1 / LEAST_SOFT; ``read_weights`` reads another. A rule for a host and a path prefix decides before the vocabulary;
 it holds for the host and its subdomains, and of several the longest wins (of
 equally long ones the one with the longer host).
 
@@ -13,7 +14,7 @@ rows, repeated rows each get theirs, extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -102,15 +103,21 @@ def vocabulary_hits(url: str | None, strict: tuple[str, ...], soft: tuple[str, .
     return hits
 
 
-def judge(
-    pages: DataFrame,
-    rules: Sequence[Rule] = RULES,
-    strict: Sequence[str] = STRICT_TERMS,
-    soft: Sequence[str] = SOFT_TERMS,
-    least_soft: int = LEAST_SOFT,
-) -> DataFrame:
+#: The production list as weights.
+WEIGHTS = dict.fromkeys(STRICT_TERMS, 1.0) | dict.fromkeys(SOFT_TERMS, 1 / LEAST_SOFT)
+
+
+def read_weights(path: str) -> dict[str, float]:
+    """Terms and weights of a file: a term, a tab and its weight a line; lower-cased, blank lines left out."""
+    with open(path, encoding="utf-8") as lines:
+        rows = [line.rstrip("\n").rpartition("\t") for line in lines if line.strip()]
+    return {_lower(term.strip()): float(weight) for term, _, weight in rows}
+
+
+def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, weights: Mapping[str, float] | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, n_strict, n_soft (distinct terms)."""
-    rules, strict, soft = tuple(rules), tuple(strict), tuple(soft)
+    weights = dict(WEIGHTS if weights is None else weights)
+    rules, strict, soft = tuple(rules), tuple(t for t, w in weights.items() if w >= 1), tuple(t for t, w in weights.items() if w < 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = RuleBook(rules)
@@ -120,7 +127,8 @@ def judge(
                 host, path = host_and_path(url)
                 rule = book.find(host, path)
                 hard, mild = vocabulary_hits(url, strict, soft)
-                verdict = rule.verdict if rule else "block" if hard or len(mild) >= least_soft else "allow"
+                heavy = len(mild) > 1 and sum(weights[t] for t in mild) >= 1 - 1e-9
+                verdict = rule.verdict if rule else "block" if hard or heavy else "allow"
                 out.append((host, path, rule and rule.host + rule.path, verdict, len(hard), len(mild)))
             columns = [[x[i] for x in out] for i in range(6)]
             kinds = [pa.string()] * 4 + [pa.int32()] * 2

@@ -94,6 +94,15 @@ def test_urls(spark, url, host, path, rule, verdict):
     assert (row["host"], row["path"], row["rule"], row["verdict"]) == (host, path, rule, verdict)
 
 
+def test_weights_of_a_file(spark, tmp_path):
+    (tmp_path / "terms.tsv").write_text("Bad\t1\nmild one\t0.4\n\nsoft\t0.3\nmeek\t0.3\n")
+    weights = urlfilter.read_weights(f"{tmp_path}/terms.tsv")
+    assert weights == {"bad": 1.0, "mild one": 0.4, "soft": 0.3, "meek": 0.3}
+    urls = ["http://a/bad", "http://a/soft/meek", "http://a/mild one/soft/meek", "http://a/soft/soft/soft/soft", "http://a/badly", "http://a/" + "x" * 1_000_000 + "/BAD?", None]
+    rows = urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=(), weights=weights).orderBy("page_id").collect()
+    assert [r["verdict"] for r in rows] == ["block", "allow", "block", "allow", "allow", "block", "allow"]
+
+
 def brute_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
