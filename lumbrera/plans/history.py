@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize
@@ -35,9 +37,11 @@ def signatures(mentions: DataFrame) -> DataFrame:
 
 def marked(docs: DataFrame) -> DataFrame:
     """doc_id, technology: technologies whose marker the text has."""
-    text = F.concat(F.lit(" "), normalize(F.col("text")), F.lit(" "))
-    found = [F.when(F.greatest(*[F.contains(text, F.lit(m)) for m in marks]) if len(marks) > 1 else F.contains(text, F.lit(marks[0])), F.lit(t)) for t, marks in MARKERS.items()]
-    return docs.select("doc_id", F.explode(F.array_compact(F.array(*found))).alias("technology"))
+    # The text is a lambda's argument, so that it is normalised once and not for every marker.
+    told = F.array(F.concat(F.lit(" "), normalize(F.col("text")), F.lit(" ")))
+    has = lambda n, marks: reduce(Column.__or__, (F.contains(n, F.lit(m)) for m in marks))
+    found = F.transform(told, lambda n: F.array_compact(F.array(*[F.when(has(n, marks), F.lit(t)) for t, marks in MARKERS.items()])))
+    return docs.select("doc_id", F.explode(F.flatten(found)).alias("technology"))
 
 
 def candidates(signed: DataFrame, docs: DataFrame) -> DataFrame:
