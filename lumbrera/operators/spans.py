@@ -15,7 +15,8 @@ def source_units(title: Column, text: Column) -> Column:
     lines = F.split(F.coalesce(text, F.lit("")), r"\n")
     sentences = F.flatten(F.transform(lines, lambda x: F.split(x, r"(?<=[.;])\s+")))
     every = F.concat(F.array(F.coalesce(title, F.lit(""))), lines, sentences)
-    return F.array_distinct(F.filter(F.transform(every, F.trim), lambda u: u != ""))
+    # a lambda of one parameter: trim by itself would get the index as the characters to trim
+    return F.array_distinct(F.filter(F.transform(every, lambda u: F.trim(u)), lambda u: u != ""))
 
 
 def shortest_unit(units: Column, anchors: Column, patterns: Sequence[str] = ()) -> Column:

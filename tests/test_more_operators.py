@@ -19,6 +19,13 @@ def test_shortest_unit(spark):
     assert rows[0]["u"][0] == "Title of SOL" and rows[0]["s"] == "SOL with LUNA." and rows[1]["u"] == [] and rows[1]["s"] is None
 
 
+def test_units_keep_their_digits(spark):
+    lines = [f"version {n}" for n in range(40)] + ["0 of 0", "11 of 11", "1. 22; 22"]
+    text = "\n".join(f"  {line} " for line in [*lines, "", *lines[:3]])
+    df = spark.createDataFrame([(" 10 years ", text)], "t string, b string")
+    assert df.select(spans.source_units(F.col("t"), F.col("b"))).first()[0] == ["10 years", *lines, "1.", "22;", "22"]
+
+
 def test_sections(spark):
     text = "intro HECHOS aaa GROUNDS bbb RESUELVE ccc"
     df = spark.createDataFrame([(text,)], "t string")
