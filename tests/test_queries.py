@@ -52,3 +52,13 @@ def test_query(spark, oracle, name):
         assert got == rows(columns, cursor.fetchall())
     else:
         assert got
+
+
+def test_source_units_of_many_lines(spark, tmp_path):
+    licence = "Licensed under the Apache License, Version 2.0."
+    texts = [None, "", " \n ", "t\n t ", "a\r\n\ta\na", *("\n".join([*(f"Line {i}" for i in range(n)), licence, f" {licence} "]) for n in (1, 4, 9, 10, 19, 200))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["source_units"](spark, str(tmp_path)).collect()
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in got) == sorted(connection.execute(registry.SQL["source_units"]).fetchall())
