@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Written, only, slices
+from .common import SLICE_BYTES, Written, give_back, only, slices
 from .tokens import encoder, public_path
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary, part int, rank long"
@@ -188,7 +188,10 @@ def cut_pieces(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, capac
                     seen[length] += 1
                     start, piece = start + length, piece + 1
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids", "part", "rank"])
+            arrays = [pa.array(c, k) for c, k in zip(out, kinds, strict=True)]
+            out.clear()
+            give_back()  # else what allocators keep of each slice adds up to nearly as much as all that is in use
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids", "part", "rank"])
 
     return only(docs, "doc_id", "text").mapInArrow(run, PIECES)
 

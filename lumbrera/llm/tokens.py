@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+from collections.abc import Iterator
 from itertools import pairwise, repeat
 from unicodedata import is_normalized
 
@@ -37,6 +38,22 @@ _LOWER[65:91] += 32
 #: Words of more bytes are not kept between batches.
 _LONG = 64
 
+#: Bytes of text that are cut and encoded at a time, one text at least: the arrays for it take some twenty times as much.
+BLOCK_BYTES = 1 << 20
+
+
+def _blocks(texts: list[str | None]) -> Iterator[list[bytes]]:
+    """The texts in UTF-8, null as empty, in runs of about ``BLOCK_BYTES``."""
+    block, held = [], 0
+    for text in texts:
+        block.append((text or "").encode())
+        held += len(block[-1])
+        if held >= BLOCK_BYTES:
+            yield block
+            block, held = [], 0
+    if block:
+        yield block
+
 
 def _rare_places(data: np.ndarray, cls: np.ndarray) -> np.ndarray:
     at = np.nonzero(cls == _LEAD)[0]
@@ -109,8 +126,8 @@ class Pieces:
 class Encoder:
     """Ids of ``Tokenizer.encode(text, add_special_tokens=False)``, as little-endian unsigned 32-bit.
 
-    A batch is encoded by its distinct pieces; their ids are kept between
-    batches, up to ``most`` pieces, of which those seen in several batches stay.
+    A block is encoded by its distinct pieces; their ids are kept between
+    batches, up to ``most`` pieces, of which those seen in several blocks stay.
     ``spaced``: byte-level vocabularies, where a word's leading space belongs to it.
     """
 
@@ -195,7 +212,9 @@ class Encoder:
         collecting = gc.isenabled()
         gc.disable()  # many short-lived objects and no cycles
         try:
-            known.update(zip(known, self._encode_distinct([(t or "").encode() for t in known]), strict=True))
+            encoded = (ids for block in _blocks(list(known)) for ids in self._encode_distinct(block))
+            known.update(zip(known, encoded, strict=True))
+            self._forget()
         finally:
             if collecting:
                 gc.enable()
@@ -217,7 +236,6 @@ class Encoder:
             found = ids[np.arange(int(n.sum())) + np.repeat(start[own] - ends + n, n)]
             last = np.concatenate([[0], ends])[np.cumsum(count)].tolist()
             out += [found[a:b].tobytes() for a, b in pairwise([0, *last])]
-        self._forget()
         return out
 
 

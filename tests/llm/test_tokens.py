@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -27,6 +28,19 @@ def test_ids_are_the_library_s(name, spaced, texts):
     assert encoder(public_path(name), spaced).encode_many(texts) == want
 
 
+@pytest.mark.parametrize(("name", "spaced"), FILES)
+def test_memory_of_a_batch_is_little_more_than_its_texts_and_ids(name, spaced):
+    texts = [" ".join(f"w{(7 * i + k) % 5000}" for k in range(2000)) for i in range(700)] + [None, "", "x"]
+    some = encoder(public_path(name), spaced)
+    want = [some.encode_many([t])[0] for t in texts]
+    tracemalloc.start()
+    got = some.encode_many(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == want
+    assert peak < 2 * sum(map(len, want)) + 5 * sum(len(t or "") for t in texts)
+
+
 def _ids(name, text, end):
     return Tokenizer.from_file(public_path(name)).encode(text or "", add_special_tokens=False).ids + [end]
 
